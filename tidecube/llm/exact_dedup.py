@@ -20,6 +20,8 @@ from tidecube.llm.common import materialize, maybe_broadcast, shared_dir
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB would reserve 4 MB of disk for every state partition's manifest, however small the partition.
+_RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 
 
 def normalised(text: Column) -> Column:
@@ -59,11 +61,13 @@ def key_store(spark: SparkSession, path: str, schema: T.StructType, id_col: str,
 
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKSDB)
+    spark.conf.set(_RESERVE, "false")
     try:
         query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, before)
+        spark.conf.unset(_RESERVE)
     fields = T.StructType([*state.schema.fields, T.StructField("batch", T.LongType())])
     spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{at}/store/batch=-1")
     found = spark.read.schema(fields).parquet(f"{at}/store")
