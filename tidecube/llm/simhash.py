@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = parts.join(nodes, parts.node == nodes.fp)
     least = known.groupBy("component").agg(F.min("least").alias("reached"))
     reached = parts.join(least, "component").select(F.col("node").alias("fp"), "reached")
-    labels = nodes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component"))
+    labels = materialize(nodes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component")), "simhash-labels")  # alone in its stage, the join with a hot fingerprint can be split
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
