@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 #: No document is read more often.
 MAX_RATE = 3
 #: Documents that are rounded together.
-CHUNK = 50_000
+CHUNK = 4_000
 _ONE = 1 << 32
 _STEPS = 60
 _TOLERANCE = 1e-9
