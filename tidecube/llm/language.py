@@ -12,7 +12,7 @@ parse many pieces of texts side by side. Texts are parsed whole, in pieces of PI
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -143,10 +143,23 @@ def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: s
 
 
 class LanguageModel:
-    """Languages, their transition tables and sample sizes, and the alphabet they share."""
+    """Languages, their transitions and sample sizes, and the alphabet they share.
 
-    def __init__(self, alphabet: dict[str, int], languages: list[str], tables: list[np.ndarray], sizes: list[int]):
-        self.alphabet, self.languages, self.tables, self.sizes = alphabet, languages, tables, sizes
+    Transitions travel as (states, place, target), the places of a table [state, letter] that aren't 0; a worker makes the
+    tables when it first needs them.
+    """
+
+    def __init__(self, alphabet: dict[str, int], languages: list[str], transitions: list[tuple[int, np.ndarray, np.ndarray]], sizes: list[int]):
+        self.alphabet, self.languages, self.transitions, self.sizes = alphabet, languages, transitions, sizes
+
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        out = []
+        for states, place, target in self.transitions:
+            table = np.zeros((states, ALPHABET + 1), np.int32)
+            table.reshape(-1)[place] = target
+            out.append(table)
+        return out
 
     def cross_entropy(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Normalised phrases [text, language] of texts whose codes lie one after the other."""
@@ -180,11 +193,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 break
         codes = codes[:chars]
         table = suffix_automaton(codes, ALPHABET + 1)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "n": [len(codes)], "states": [len(table)], "automaton": [table.tobytes()]})
+        place = np.flatnonzero(table)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "n": [len(codes)], "states": [len(table)], "place": [place.astype(np.int32).tobytes()], "target": [table.reshape(-1)[place].tobytes()]})
 
-    built = sample.groupBy("lang").applyInPandas(build, "lang string, n long, states long, automaton binary").orderBy("lang").collect()
-    tables = [np.frombuffer(r["automaton"], np.int32).reshape(r["states"], ALPHABET + 1) for r in built]
-    return LanguageModel(alphabet, [r["lang"] for r in built], tables, [r["n"] for r in built])
+    built = sample.groupBy("lang").applyInPandas(build, "lang string, n long, states long, place binary, target binary").orderBy("lang").collect()
+    transitions = [(r["states"], np.frombuffer(r["place"], np.int32), np.frombuffer(r["target"], np.int32)) for r in built]
+    return LanguageModel(alphabet, [r["lang"] for r in built], transitions, [r["n"] for r in built])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
