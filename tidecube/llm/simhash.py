@@ -171,13 +171,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     last. Of wholly equal rows (id and text) one stays.
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    keyed = docs.withColumn("__key", key)
-    found = near_duplicates(keyed, "__key", text_col, shingle, radius)
-    stay = materialize(found.where("__key = component").groupBy("component").agg(F.count("*").alias("__n")), "simhash-stay")
-    stay = maybe_broadcast(stay.select(F.col("component.none").alias("__none"), F.col("component.id").alias("__id"), F.col("component.h").alias("__h"), "__n"), 100_000)
-    kept = docs.withColumn("__h2", F.xxhash64(text_col)).join(stay, (F.col("__h2") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    helpers = ["__h2", "__none", "__id", "__h", "__n"]
-    once = kept.where("__n = 1").drop(*helpers)
-    if stay.where("__n > 1").isEmpty():
-        return once
-    return once.unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__h"]).drop(*helpers))
+    found = near_duplicates(docs.withColumn("__key", key), "__key", text_col, shingle, radius)
+    own = [F.col("__key.id").alias("__id"), F.col("__key.h").alias("__h")]
+    found = materialize(found.select(*own, (F.col("__key") == F.col("component")).alias("__stays")), "simhash-stay")
+    gone = maybe_broadcast(found.where("NOT __stays").select("__id", "__h").distinct())
+    repeated = materialize(found.where("__stays").groupBy("__id", "__h").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "simhash-repeated")
+    hashed = docs.withColumn("__h2", F.xxhash64(text_col))
+    on = (F.col("__h2") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = hashed.join(gone, on, "left_anti")
+    if repeated.isEmpty():
+        return kept.drop("__h2")
+    again = kept.join(maybe_broadcast(repeated), on, "left_semi").dropDuplicates([id_col, "__h2"])
+    return kept.join(maybe_broadcast(repeated), on, "left_anti").unionByName(again).drop("__h2")
