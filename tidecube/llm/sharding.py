@@ -69,21 +69,27 @@ def assign(rows: DataFrame, key: Column, tie: list[Column], shards: int = 40, vn
 
     ``key`` decides the place on the ring (a hash of it, so any type), ``tie`` the order of rows with equal keys; rows
     that are equal in both are interchangeable. Shards hold floor or ceil of the mean number of rows, whatever the keys:
-    a single key may hold all rows. An empty table gives no rows.
+    a single key may hold all rows. An empty table gives no rows. ``rows`` is read twice, to count its places on the ring
+    and to deal it out, and has to be the same both times: a table, not a plan with chance in it.
     """
     spark = rows.sparkSession
-    placed = materialize(rows.withColumn("__at", F.xxhash64(key).bitwiseAND(RING - 1)).withColumn("__tie", F.xxhash64(*tie)), "shard-rows")
-    n = placed.count()
+    placed = rows.withColumn("__at", F.xxhash64(key).bitwiseAND(RING - 1)).withColumn("__tie", F.xxhash64(*tie))
+    places = materialize(placed.select("__at", "__tie"), "shard-places")
+    n = places.count()
     at, owner = ring_points(shards, vnodes)
     split = 1 << max(0, (n // (cell_rows * len(at))).bit_length())  # cells to an arc
     points = at.tolist()
     # The next point clockwise: the number of points below the position, over the end to the first.
     coarse = spark.createDataFrame([(b, lo, points[lo:hi]) for b in range(4096) for lo, hi in [(int(np.searchsorted(at, b << 20)), int(np.searchsorted(at, (b + 1) << 20)))]], "__b int, __lo int, __points array<long>")
-    arcs = placed.withColumn("__b", F.shiftrightunsigned("__at", 20).cast("int")).join(F.broadcast(coarse), "__b")
     arc = F.pmod(F.col("__lo") + F.size(F.filter("__points", lambda p: p < F.col("__at"))), F.lit(len(points)))
     cell = F.pmod(F.col("__tie"), F.lit(split)).cast("int")
-    arcs = arcs.withColumn("__arc", arc).withColumn("__cell", cell).drop("__b", "__lo", "__points")
-    cells = materialize(arcs.groupBy("__arc", "__cell").agg(F.count("*").alias("__n")), "shard-cells")
+
+    def with_arc(df: DataFrame) -> DataFrame:
+        met = df.withColumn("__b", F.shiftrightunsigned("__at", 20).cast("int")).join(F.broadcast(coarse), "__b")
+        return met.withColumn("__arc", arc).withColumn("__cell", cell).drop("__b", "__lo", "__points")
+
+    arcs = with_arc(placed)
+    cells = materialize(with_arc(places).groupBy("__arc", "__cell").agg(F.count("*").alias("__n")), "shard-cells")
     counts = np.zeros(len(points), np.int64)
     for a, c in cells.groupBy("__arc").agg(F.sum("__n")).collect():  # at most one row for each point of the ring
         counts[a] = c
