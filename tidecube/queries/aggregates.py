@@ -89,9 +89,9 @@ def _(t):
     return ag.observed_use(_use(t), "species_use_log_pred")
 
 
-@query("A16_predicted_use", "pred regimes", f"WITH {_USE} SELECT species, seascape, count(*) AS rows, {R('avg(u)', 'log_mean')}, {R('median(u)', 'log_median')}, {R('avg(greatest(exp(u) - 1, 0))', 'raw_mean')}, {R('median(greatest(exp(u) - 1, 0))', 'raw_median')}, {R('median(CASE WHEN u > 0 THEN u END)', 'positive_median')}, {R('avg(CASE WHEN u > 0 THEN 1e0 ELSE 0e0 END)', 'positive_fraction')} FROM b GROUP BY 1, 2")
+@query("A16_predicted_use", "pred regimes", f"WITH {_USE}, x AS (SELECT species, seascape, 0.97e0 * u AS u FROM b) SELECT species, seascape, count(*) AS rows, {R('avg(u)', 'log_mean')}, {R('median(u)', 'log_median')}, {R('avg(greatest(exp(u) - 1, 0))', 'raw_mean')}, {R('median(greatest(exp(u) - 1, 0))', 'raw_median')}, {R('median(CASE WHEN u > 0 THEN u END)', 'positive_median')}, {R('avg(CASE WHEN u > 0 THEN 1e0 ELSE 0e0 END)', 'positive_fraction')} FROM x GROUP BY 1, 2")
 def _(t):
-    return ag.predicted_use(_use(t), "species_use_log_pred")
+    return ag.predicted_use(_use(t).withColumn("u", 0.97 * F.col("species_use_log_pred")), "u")
 
 
 @query("A17_class_profile", "env regimes", f"SELECT seascape, count(*) AS rows, count(DISTINCT component) AS prototypes, {R('avg(sst)', 'sst_mean')}, {R('avg(chl)', 'chl_mean')}, {R('stddev_samp(sst)', 'sst_std')}, {R('stddev_samp(chl)', 'chl_std')} FROM env JOIN regimes USING (h3, date) GROUP BY 1")

@@ -51,13 +51,13 @@ def _(t):
     return t.pred.select("h3", "date", "species", scoring.gated_log(F.col("species_use_log_pred"), scoring.gate(F.col("plausibility"), F.col("species"), _CUTS)).alias("use_log"))
 
 
-_HYBRID = f"WITH {_SUPPORT}, e AS (SELECT h3, date, sum(fishing_hours) AS h, sum(vessel_count) AS v FROM daily_effort GROUP BY 1, 2), x AS (SELECT b.*, greatest(0.1e0, least(0.9e0, support / (support + 5))) AS alpha, {_GATE} AS gate, CASE WHEN h * v > 0 THEN ln(1 + h * v) ELSE 0e0 END AS effort FROM b LEFT JOIN e ON b.h3 = e.h3 AND b.date = e.date), u AS (SELECT *, ln(1 + greatest(exp(alpha * species_use_log_pred + (1 - alpha) * 0.97e0 * plausibility) - 1, 0) * gate) AS use_log FROM x)"
+_HYBRID = f"WITH {_SUPPORT}, e AS (SELECT h3, date, sum(fishing_hours) AS h, sum(vessel_count) AS v FROM daily_effort GROUP BY 1, 2), x AS (SELECT b.*, greatest(0.1e0, least(0.9e0, support / (support + 5))) AS alpha, {_GATE} AS gate, CASE WHEN h * v > 0 THEN ln(1 + h * v) ELSE 0e0 END AS effort FROM b LEFT JOIN e ON b.h3 = e.h3 AND b.date = e.date), u AS (SELECT *, ln(1 + greatest(exp(alpha * species_use_log_pred + (1 - alpha) * 0.9713177e0 * plausibility) - 1, 0) * gate) AS use_log FROM x)"
 
 
 @query("H7_hybrid_risk", "pred daily_effort", f"{_HYBRID} SELECT h3, date, species, {R('use_log', 'species_use_log_pred')}, {R('alpha', 'hybrid_alpha')}, {R('u.species_use_log_pred', 'ml_log')}, {R('plausibility', 'plausibility')}, {R('gate', 'plausibility_gate')}, {R('effort', 'fishing_activity_log')}, {R('use_log + effort', 'risk_log_pred')} FROM u", days="date")
 def _(t):
     e = t.daily_effort.groupBy("h3", "date").agg(F.sum("fishing_hours").alias("fishing_hours"), F.sum("vessel_count").alias("vessel_count"))
-    scores = supported(t).withColumn("ml_log", F.col("species_use_log_pred")).withColumn("density_log", 0.97 * F.col("plausibility")).drop("species_use_log_pred")
+    scores = supported(t).withColumn("ml_log", F.col("species_use_log_pred")).withColumn("density_log", 0.9713177 * F.col("plausibility")).drop("species_use_log_pred")
     return scoring.product(scoring.hybrid(scoring.base(scores, e), "spatial", _CUTS), "hybrid")
 
 
