@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
     # Were this source the first below its cap: the level that shares what the full ones leave.
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     open_w = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    levels = ranked.withColumn("level", left / open_w).withColumn("fits", F.col("level") * F.col("w") <= F.col("cap"))
+    levels = ranked.withColumn("level", F.try_divide(left, open_w)).withColumn("fits", F.col("level") * F.col("w") <= F.col("cap"))
     level = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("w")).alias("at"), "level")))
     return levels.select("source", "source_size", "w", "cap", level.over(everything)["level"].alias("level")).select(
         "source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target")
@@ -68,8 +68,8 @@ def _rate(lam: F.Column, size: F.Column, max_rate: int) -> F.Column:
 def _solved(cells: DataFrame, targets: DataFrame, max_rate: int) -> DataFrame:
     """(source, lam) that meet the targets; ``cells`` has source, size, n."""
     total = targets.select("source", "target", F.col("source_size").cast("double").alias("s0"))
-    wide = cells.groupBy("source").agg((F.sum(F.col("n") * F.col("size").cast("decimal(38,0)") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).cast("double").alias("mean"))
-    start = F.when((F.col("target") > 0) & (F.col("s0") > 0), F.log(F.col("target") / F.col("s0")) / F.col("mean")).otherwise(0.0)
+    wide = cells.groupBy("source").agg(F.try_divide(F.sum(F.col("n") * F.col("size").cast("decimal(38,0)") * F.col("size")).cast("double"), F.sum(F.col("n") * F.col("size")).cast("double")).alias("mean"))
+    start = F.when((F.col("target") > 0) & (F.col("s0") > 0), F.try_divide(F.log(F.try_divide("target", "s0")), F.col("mean"))).otherwise(0.0)
     state = materialize(
         total.join(wide, total["source"].eqNullSafe(wide["source"]))
         .select(total["source"], "target", "mean", F.coalesce(start, F.lit(0.0)).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (F.col("target") >= F.col("s0") * max_rate).alias("full"), F.lit(1.0).alias("error")),
@@ -81,8 +81,8 @@ def _solved(cells: DataFrame, targets: DataFrame, max_rate: int) -> DataFrame:
         at = cells.join(lams, F.col("source").eqNullSafe(F.col("of"))).withColumn("r", r).withColumn("t", (F.col("n") * F.col("size")).cast("decimal(20,0)") * F.col("r"))
         free = F.when(F.col("r") < max_rate * _ONE, F.col("t").cast("decimal(30,0)") * F.col("size"))
         grads = at.groupBy("source").agg((F.sum("t").cast("double") / _ONE).alias("mixed"), (F.coalesce(F.sum(free), F.lit(0)).cast("double") / _ONE).alias("slope"))
-        gap = F.log(F.col("mixed") / F.col("target"))
-        step = F.try_divide(gap, F.col("slope") / F.col("mixed"))
+        gap = F.log(F.try_divide("mixed", "target"))
+        step = F.try_divide(gap, F.try_divide("slope", "mixed"))
         now = state.join(grads.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("gap", F.when((F.col("mixed") > 0) & (F.col("target") > 0), gap).otherwise(0.0))
         now = now.withColumn("hi2", F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("hi"))).withColumn("lo2", F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("lo")))
         newton = F.col("lam") - step
