@@ -435,7 +435,7 @@ def test_pipeline_stage_by_stage(spark, small, docs):
         size.setdefault(r.source, {})[r.doc_id] = len(WORD.findall(r.text or ""))
     want = brute_targets({s: sum(d.values()) for s, d in size.items()})
     for s, d in size.items():
-        assert abs(sum(n * int(copies.get(i, 0)) for i, n in d.items()) - want[s]) <= max(30, min((n for n in d.values() if n), default=0))  # one copy of the smallest
+        assert abs(sum(n * int(copies.get(i, 0)) for i, n in d.items()) - want[s]) <= max(d.values()) / 2 + 1  # rounding is off by half a document at most
     was, kept, _ = seen["sharding"]
     n = pd.Series([r.shard for r in kept]).value_counts().reindex(range(40), fill_value=0)
     assert len(kept) == len(was) and n.max() - n.min() <= 1 and len({(r.shard, r.slot) for r in kept}) == len(kept)
