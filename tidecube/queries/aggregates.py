@@ -154,9 +154,9 @@ def _(t):
     return months.groupBy(F.month("period").alias("month")).agg(F.sum("fishing_hours").alias("fishing_hours"), F.max("vessel_count").alias("vessel_count"))
 
 
-@query("A28_daily_means", "env", "SELECT date, " + ", ".join(R(f"avg({c})", c) for c in ("sst", "chl", "wind_u10", "wind_v10")) + " FROM env GROUP BY 1", days="date")
+@query("A28_daily_means", "env", "SELECT date, " + ", ".join(R(f"avg({c})", c) for c in ("sst", "wind_u10")) + " FROM env GROUP BY 1", days="date")
 def _(t):
-    return ag.column_means(t.env, ["date"], ["sst", "chl", "wind_u10", "wind_v10"])
+    return ag.column_means(t.env, ["date"], ["sst", "wind_u10"])
 
 
 @query("A29_gradient_means", "env cells", f"WITH {_EDGES}, g AS (SELECT v.h3, v.date, sqrt(avg(power(v.sst - n.sst, 2))) AS g FROM env v JOIN e ON v.h3 = e.h3 JOIN env n ON n.h3 = e.neighbor AND n.date = v.date GROUP BY 1, 2) SELECT h3, {R('avg(g)', 'sst_grad')} FROM g GROUP BY 1")
