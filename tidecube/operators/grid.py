@@ -10,6 +10,8 @@ from tidecube.operators.joins import small
 
 #: Steps from an axial position (q, r) to the six around it.
 STEPS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
+#: Resolution of the cells that are the blocks of spatial validation.
+BLOCK_RESOLUTION = 4
 
 
 def id_from_hex(c: Column) -> Column:

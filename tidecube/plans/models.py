@@ -354,6 +354,29 @@ def partial_dependence(model: PipelineModel, sample: DataFrame, feature: str, po
     return predict(model, own).groupBy(F.col("__v").alias("value")).agg(F.avg("prediction").alias("prediction"))
 
 
+def train_kinds(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, kind: str, kinds: Sequence[str], fit) -> DataFrame:
+    """(model_type, kind, train_rows, test_rows, metrics) of one model of all kinds, which has an indicator for each, and of one for each kind.
+
+    ``fit(train, features)`` returns a model. Each is measured on the test rows of what it was trained for; the joint
+    model's kind is ``all``. A kind without training rows is an error.
+    """
+    from functools import reduce
+
+    from tidecube.operators.aggregates import metrics
+
+    marks = [f"{kind}_is_{i}" for i in range(len(kinds))]
+    marked = lambda df: df.where(F.col(kind).isin(*kinds)).withColumns({m: (F.col(kind) == k).cast("double") for m, k in zip(marks, kinds)})
+    jobs = [("joint", "all", marked(train), marked(test), [*marks, *features])]
+    jobs += [("single", k, train.where(F.col(kind) == k), test.where(F.col(kind) == k), list(features)) for k in kinds]
+    out = []
+    for model_type, name, own, held, used in jobs:
+        if not (n := own.count()):
+            raise ValueError(f"no training rows of {name!r}")
+        found = metrics(predict(fit(own, used), held, "__p"), target, "__p")
+        out.append(found.select(F.lit(model_type).alias("model_type"), F.lit(name).alias(kind), F.lit(n).cast("long").alias("train_rows"), F.lit(held.count()).cast("long").alias("test_rows"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, folds: int, fit) -> DataFrame:
     """(fold, r2, rmse, mae, bias, pearson, n) over df with fold; ``fit(train)`` returns a model. Each fold's rows are scored by a model that has not seen them."""
     from functools import reduce

@@ -87,6 +87,24 @@ def product(df: DataFrame, kind: str) -> DataFrame:
     return df.select("h3", "date", "species", *PRODUCTS[kind])
 
 
+def predictions(own: DataFrame, mode: str, models: Mapping[str, Column], active: str | None = None, blend: tuple[str, str] | None = None, alpha_mode: str = "spatial", cuts: Mapping[str, float] | None = None) -> DataFrame:
+    """(model, h3, date, species, use, risk) of ``own`` (with fishing_activity_log) under a mode of prediction.
+
+    ``models`` gives every model's log score. ``single``: the active model; ``all``: every model, in one pass over the
+    rows; ``hybrid``: the two models of ``blend`` blended by support and gated by plausibility, which ``own`` then needs.
+    """
+    keys = ["h3", "date", "species"]
+    if mode == "hybrid":
+        scores = own.withColumns({"ml_log": models[blend[0]], "density_log": models[blend[1]]})
+        return hybrid(scores, alpha_mode, cuts or {}).select(F.lit("hybrid").alias("model"), *keys, "species_use_log_pred", "risk_log_pred")
+    if mode not in ("single", "all"):
+        raise ValueError(f"no mode {mode!r}")
+    names = [active] if mode == "single" else list(models)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("model"), models[n].cast("double").alias("species_use_log_pred")) for n in names)))
+    fanned = own.select(*keys, "fishing_activity_log", each.alias("m")).select("m.model", *keys, "m.species_use_log_pred", "fishing_activity_log")
+    return fanned.withColumn("risk_log_pred", F.col("species_use_log_pred") + F.col("fishing_activity_log")).drop("fishing_activity_log")
+
+
 def class_values(df: DataFrame, values: DataFrame, cls: str = "seascape", name: str = "class_value") -> DataFrame:
     """df with the value of its class, 0 for a missing one."""
     return attach(df, values.select(cls, F.col("value").alias(name)), [cls]).withColumn(name, F.coalesce(name, F.lit(0.0)))

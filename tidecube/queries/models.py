@@ -127,6 +127,14 @@ def _(t):
     return t.pred.select("h3", "date", "species", o.alias("observed"), p.alias("predicted"), (o - p).alias("residual"))
 
 
+@query("L19_joint_and_single")
+def _(t):
+    own = t.pred.withColumn("target", F.col("species_use_log_pred")).withColumn("day", F.dayofyear("date").cast("double"))
+    order = sampling.integer_key(F.col("h3") * 10007 + F.datediff("date", F.lit("1990-01-01").cast("date"))), F.col("h3"), F.col("date"), F.col("species")
+    held = sampling.hold_out(own, 0.25, *order)
+    return models.train_kinds(held.where("NOT is_test"), held.where("is_test"), ["plausibility", "day"], "target", "species", ["A", "N", "R"], lambda d, x: models.forest(d, x, "target", _SMALL))
+
+
 @query("L20_cross_validation")
 def _(t):
     own = data(t).withColumn("fold", F.col("h3") % 3)

@@ -67,6 +67,20 @@ def _(t):
     return scoring.product(own, "single")
 
 
+_MODES = " UNION ALL ".join(f"SELECT '{m}' AS mode, '{n}' AS model, h3, date, species, {R(c, 'species_use_log_pred')}, {R(f'{c} + effort', 'risk_log_pred')} FROM u" for m, n, c in (("single", "ml", "u.species_use_log_pred"), ("all", "ml", "u.species_use_log_pred"), ("all", "density", "0.9713177e0 * plausibility"), ("hybrid", "hybrid", "use_log")))
+
+
+@query("H9_prediction_modes", "pred daily_effort", f"{_HYBRID} {_MODES}", days="date")
+def _(t):
+    from functools import reduce
+
+    e = t.daily_effort.groupBy("h3", "date").agg(F.sum("fishing_hours").alias("fishing_hours"), F.sum("vessel_count").alias("vessel_count"))
+    own = scoring.base(supported(t).withColumnRenamed("species_use_log_pred", "ml"), e)
+    known = {"ml": F.col("ml"), "density": 0.9713177 * F.col("plausibility")}
+    one = lambda mode: scoring.predictions(own, mode, known, active="ml", blend=("ml", "density"), cuts=_CUTS).select(F.lit(mode).alias("mode"), "*")
+    return reduce(lambda a, b: a.unionByName(b), map(one, ("single", "all", "hybrid")))
+
+
 @query("H10_class_values", "regimes", f"SELECT h3, date, seascape, {R('CASE WHEN seascape < 20 THEN seascape / 10e0 ELSE 0e0 END', 'class_value')} FROM regimes", days="date")
 def _(t):
     values = t.spark.createDataFrame([(k, k / 10) for k in range(20)], "seascape long, value double")

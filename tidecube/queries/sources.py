@@ -135,6 +135,23 @@ def _(t):
     return v.read()
 
 
+@query("K6_no_overwrite", oracle="SELECT p_partkey, true AS refused FROM part")
+def _(t):
+    """A table that is there is only replaced on request."""
+    from pyspark.errors import AnalysisException
+
+    path = store.shared_folder(t.spark, "kept")
+    store.write_table(t.nation.select("n_nationkey"), path)
+    try:
+        store.write_table(t.part.select("p_partkey"), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    assert t.spark.read.parquet(path).columns == ["n_nationkey"]
+    store.write_table(t.part.select("p_partkey", F.lit(refused).alias("refused")), path, overwrite=True)
+    return t.spark.read.parquet(path)
+
+
 @query("K7_json_report", oracle=f"SELECT o_orderstatus, {R('sum(o_totalprice)', 'total')} FROM orders GROUP BY 1")
 def _(t):
     path = store.shared_folder(t.spark, "json")

@@ -93,6 +93,12 @@ def _(t):
     return t.supplier.select("s_suppkey", grid.parent(F.lit(617700169958293503) - F.col("s_suppkey") * 1099511627776, 5).alias("parent"))
 
 
+@query("G6_block_label", oracle="SELECT s_suppkey, ((id & ~(15::BIGINT << 52)) | (4::BIGINT << 52)) | ((1::BIGINT << 33) - 1) AS block FROM (SELECT s_suppkey, 617700169958293503 - s_suppkey * 1099511627776 AS id FROM supplier)")
+def _(t):
+    """The parent at the default resolution of spatial blocks."""
+    return t.supplier.select("s_suppkey", grid.parent(F.lit(617700169958293503) - F.col("s_suppkey") * 1099511627776, grid.BLOCK_RESOLUTION).alias("block"))
+
+
 @query("M10_folds")
 def _(t):
     """Groups dealt to folds, even in rows and kinds; a greedy choice, which SQL does not have."""
@@ -103,3 +109,26 @@ def _(t):
 @query("M11_fold_split", "pred", "SELECT h3, date, species, h3 % 5 AS fold FROM pred WHERE h3 % 5 <> 2", days="date")
 def _(t):
     return sampling.fold_split(t.pred.select("h3", "date", "species", (F.col("h3") % 5).alias("fold")), 2)[0]
+
+
+_DESIGNS = ["groups", "buffered", "random", "time"]
+_BY_GROUP = "SELECT '{d}' AS design, CASE WHEN before < total * 0.25e0 THEN 'test' ELSE 'train' END AS part FROM x JOIN (SELECT {g} AS k, coalesce(sum(n) OVER (ORDER BY ({g} * 2654435761) % 1000003, {g} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM (SELECT {g}, count(*) AS n FROM x GROUP BY 1) s) c ON c.k = x.{g}"
+
+
+@query("M12_designs", "regimes cells", f"""WITH {_EDGES}, x AS (SELECT h3, date, h3 // 5 AS block, component, seascape FROM regimes),
+    t AS (SELECT block FROM (SELECT block, coalesce(sum(n) OVER (ORDER BY (block * 2654435761) % 1000003, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM (SELECT block, count(*) AS n FROM x GROUP BY 1) s) c WHERE before < total * 0.25e0),
+    near AS (SELECT DISTINCT e.neighbor AS h3 FROM e JOIN x ON e.h3 = x.h3 JOIN t ON t.block = x.block),
+    p AS ({" UNION ALL ".join(_BY_GROUP.format(d=d, g=g) for d, g in (("spatial", "block"), ("component", "component"), ("class", "seascape")))}
+        UNION ALL SELECT 'buffered', CASE WHEN t.block IS NOT NULL THEN 'test' WHEN near.h3 IS NOT NULL THEN 'excluded' ELSE 'train' END FROM x LEFT JOIN t ON t.block = x.block LEFT JOIN near ON near.h3 = x.h3
+        UNION ALL SELECT 'random', CASE WHEN k <= round_even(0.25 * n, 0) THEN 'test' ELSE 'train' END FROM (SELECT row_number() OVER (ORDER BY ((h3 * 10007 + date_diff('day', DATE '1990-01-01', date)) * 2654435761) % 1000003, h3, date) AS k, count(*) OVER () AS n FROM x)
+        UNION ALL SELECT 'time', CASE WHEN k <= CAST(floor(0.75 * n) AS BIGINT) THEN 'train' ELSE 'test' END FROM (SELECT row_number() OVER (ORDER BY date, h3) AS k, count(*) OVER () AS n FROM x))
+    SELECT design, part, count(*) AS n FROM p GROUP BY 1, 2""")
+def _(t):
+    """Designs by name and alias, each applied to the same rows: the size of every part."""
+    from functools import reduce
+
+    own = t.regimes.select("h3", "date", F.expr("h3 div 5").alias("block"), "component", "seascape")
+    order = [sampling.integer_key(F.col("h3") * 10007 + F.datediff("date", F.lit("1990-01-01").cast("date"))), F.col("h3"), F.col("date")]
+    ring = grid.disk(grid.lattice_edges(t.cells), t.cells, 1)
+    one = lambda d: sampling.with_parts(own, d, order, ring, group_order=sampling.integer_key).groupBy("part").agg(F.count("*").alias("n")).select(F.lit(d.name).alias("design"), "part", "n")
+    return reduce(lambda a, b: a.union(b), map(one, sampling.variants(_DESIGNS)))
