@@ -301,6 +301,18 @@ def test_windows_score_each_token_once():
     assert first.sum() == 4
 
 
+def test_slots_hold_the_subwords_of_each_word():
+    found = [b"", b"plain", "h\u00f6her".encode(), b"don't", b"a-b_c", "non\u00a0breaking".encode(), b"x" * 2_500, "\u65e5\u672c\u8a9e".encode(), b"\x01", b"plain", b"12345", b"</s>"]
+    rank = np.arange(attention_lm.END + 1).astype(np.uint16)
+    for part in (found, found[:3], found[:5] + found[6:8] + found[9:]):
+        slots = attention_lm._Slots(rank, attention_lm.VOCABULARY, {b"plain": 2.0})
+        slots.learn({b"other", b"plain"})
+        ranks, sizes, logs = slots.look_up(part)
+        want = [attention_lm.subwords(w) if w else [attention_lm.END] for w in part]
+        assert [x.tolist() for x in np.split(ranks, np.cumsum(sizes)[:-1])] == want
+        assert logs.tolist() == [2.0 if w == b"plain" else 0.0 for w in part]
+
+
 def test_gradient_of_the_network():
     g = np.random.default_rng(0)
     m = {k: v.astype(np.float64) for k, v in attention_lm.initial(np.ones(1024)).items()}
