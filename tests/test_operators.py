@@ -162,3 +162,18 @@ def test_models_reach_a_bound(spark):
     m, _ = models.mixture(df, ["a", "b"], k=2)
     assert math.isclose(m.weights.sum(), 1, abs_tol=1e-6)
     assert scalars.buffered_box(0, 0, 1, 1, 0) == (0, 0, 1, 1)
+
+
+def test_designs_modes_and_kinds_that_are_not_there(spark):
+    df = spark.createDataFrame([], "h3 long, date date, block long, component long, seascape long")
+    order = [F.col("h3"), F.col("date")]
+    assert all(sampling.with_parts(df, v, order).count() == 0 for v in sampling.variants(["groups", "random", "time"]))
+    with pytest.raises(ValueError, match="folds"):
+        sampling.with_parts(df, sampling.variants(["class_folds"])[0], order)
+    with pytest.raises(KeyError):
+        sampling.variants(["no design"])
+    with pytest.raises(ValueError, match="no mode"):
+        scoring.predictions(df, "some", {})
+    rows = spark.createDataFrame([("A", 1.0, 2.0)], "species string, x double, y double")
+    with pytest.raises(ValueError, match="no training rows"):
+        models.train_kinds(rows, rows, ["x"], "y", "species", ["N"], None)
