@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecube.llm import decontaminate, language, mixing, sharding, simhash
+from tidecube.llm import decontaminate, language, mixing, near_copies, sharding
 from tidecube.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least id stays."""
-    return simhash.drop_near_duplicates(docs).select(*COLUMNS)
+    """Of each component of texts that share 0.8 or more of their five-word shingles the document with the least id stays."""
+    return near_copies.drop_near_copies(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

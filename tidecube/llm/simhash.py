@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,16 +164,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
+def keyed(id_col: str, text_col: str) -> Column:
+    """What a row is known by: its id and its text's hash, so that null and repeated ids are told apart; null ids go last."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs`` with all their columns, without all but one of each component.
 
     A row is known by its id and its text's hash, so null and repeated ids are told apart; the least id stays, null ids
     last. Of wholly equal rows (id and text) one stays.
     """
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    found = near_duplicates(docs.withColumn("__key", key), "__key", text_col, shingle, radius)
-    own = [F.col("__key.id").alias("__id"), F.col("__key.h").alias("__h")]
-    found = materialize(found.select(*own, (F.col("__key") == F.col("component")).alias("__stays")), "simhash-stay")
+    found = near_duplicates(docs.withColumn("__key", keyed(id_col, text_col)), "__key", text_col, shingle, radius)
+    return without_copies(docs, found.select(F.col("__key").alias("key"), "component"), id_col, text_col)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose key in ``found`` (key, component) is not its component's."""
+    own = [F.col("key.id").alias("__id"), F.col("key.h").alias("__h")]
+    found = materialize(found.select(*own, (F.col("key") == F.col("component")).alias("__stays")), "simhash-stay")
     gone = maybe_broadcast(found.where("NOT __stays").select("__id", "__h").distinct())
     repeated = materialize(found.where("__stays").groupBy("__id", "__h").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "simhash-repeated")
     hashed = docs.withColumn("__h2", F.xxhash64(text_col))
