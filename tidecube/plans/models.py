@@ -122,13 +122,19 @@ def information_criteria(log_likelihood: float, n: int, k: int, d: int) -> dict[
     return {"bic": -2 * log_likelihood + params * np.log(n), "aic": -2 * log_likelihood + 2 * params, "score": log_likelihood / n}
 
 
-def component_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int], seed: int = 42) -> DataFrame:
-    n = df.count()
+def component_sweep(df: DataFrame, features: Sequence[str], target: str, ks: Sequence[int], seed: int = 42) -> DataFrame:
+    """One row for each k: criteria of the mixture of the positive rows, and how many of them (and which share) each component has; null beyond k."""
+    pos = df.where(F.col(target) > 0).na.drop(subset=list(features))
+    n = pos.count()
     rows = []
     for k in ks:
-        _, ll = mixture(df, features, k, seed)
-        rows.append((k, *(float(v) for v in information_criteria(ll, n, k, len(features)).values())))
-    return df.sparkSession.createDataFrame(rows, "k long, bic double, aic double, score double").orderBy("bic", "k")
+        m, ll = mixture(pos, features, k, seed)
+        counts = dict(with_component(pos.select(*features), m).groupBy("component").count().collect())  # one row a component
+        own = [counts.get(c, 0) if c < len(m.weights) else None for c in range(max(ks))]
+        parts = [x for c in own for x in (c, None if c is None else c / n)]
+        rows.append((k, n, *(float(v) for v in information_criteria(ll, n, k, len(features)).values()), *parts))
+    kinds = ", ".join(f"component_{c}_positive_rows long, component_{c}_positive_fraction double" for c in range(max(ks)))
+    return df.sparkSession.createDataFrame(rows, f"k long, positive_rows long, bic double, aic double, score double, {kinds}").orderBy("bic", "k")
 
 
 def with_log_density(df: DataFrame, m: Mixture, name: str = "log_density") -> DataFrame:
@@ -187,6 +193,16 @@ def blended(df: DataFrame, density: str, prior: str, name: str) -> DataFrame:
     return df.withColumn(name, 0.5 * F.col(density) + 0.5 * F.greatest(F.col(prior), F.lit(0.0)))
 
 
+def density_and_prior(train: DataFrame, df: DataFrame, features: Sequence[str], target: str, k: int = 30, size: Size = Size(rounds=150), seed: int = 42) -> DataFrame:
+    """df with density_log, prior and their blend, score; both models are fitted to ``train``.
+
+    The production prior has 15 leaves a tree; Spark has no cap of leaves, and depth 4 (16 leaves) is the nearest.
+    """
+    density = density_regressor(train, features, target, k, seed)
+    prior = boosting(train, features, target, size, depth=4, seed=seed)
+    return blended(predict(prior, density_score(df, density), "prior"), "density_log", "prior", "score")
+
+
 def clusters(df: DataFrame, features: Sequence[str], k: int = 30, seed: int = 42) -> DataFrame:
     """df with seascape and seascape_distance of k means on scaled features."""
     x = vectors(df, features)

@@ -46,6 +46,13 @@ def _(t):
     return models.blended(t.env, "sst", "wind_v10", "score").select("h3", "date", "score")
 
 
+@query("L5_density_and_prior")
+def _(t):
+    """The whole operator; L5_blend is its last step alone, on two columns, which SQL can express."""
+    train, test = split(t)
+    return models.density_and_prior(train, test, _X[:3], "target").select("h3", "date", "density_log", "prior", "score")
+
+
 @query("L7_component_posterior")
 def _(t):
     m, _ = models.mixture(t.env, _X, k=3, rounds=20)
@@ -67,7 +74,7 @@ def _(t):
 
 @query("L9_component_sweep")
 def _(t):
-    return models.component_sweep(t.env, _X[:3], [2, 3])
+    return models.component_sweep(split(t)[0], _X[:3], "target", [2, 3])
 
 
 @query("L10_kmeans")
