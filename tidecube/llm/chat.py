@@ -30,14 +30,23 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(UNESCAPE), F.lit("$1$2$3"))
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """Trees as structs, which are equal if their nulls are, so that joins keep the tree that is null."""
+    return messages.withColumn("tree", F.struct(F.col("tree").alias("key")))
+
+
 def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, rank, score, depth, msg, position) for each message on the chosen paths of each tree.
 
     ``messages``: tree, msg (unique within the tree), parent (null or unknown: a root), score (null counts as 0). A
     path's score is the mean of its messages' scores; paths are ranked by score, then depth, both descending, then by
-    leaf. Trees may have several roots. Messages on a cycle of parents have no root and are on no path. An empty table
-    gives an empty result.
+    leaf. Trees may have several roots. Messages on a cycle of parents have no root and are on no path. A null tree is a
+    tree like any other. An empty table gives an empty result.
     """
+    return _paths(_keyed(messages), best).withColumn("tree", F.col("tree.key"))
+
+
+def _paths(messages: DataFrame, best: int) -> DataFrame:
     own = materialize(messages.select("tree", "msg", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "chat-messages")
     ids = own.select("tree", F.col("msg").alias("parent"), F.lit(True).alias("known"))
     linked = own.join(ids, ["tree", "parent"], "left").select("tree", "msg", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps"))
@@ -101,10 +110,11 @@ def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
 
     Messages need to be unique by (tree, msg). Extra columns are not read.
     """
-    paths = reply_paths(messages, best)
+    messages = _keyed(messages)
+    paths = _paths(messages, best)
     turns = paths.join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"])
     heads = paths.where("position = 0").select("tree", "leaf", "rank", "score")
-    return format_turns(turns).join(heads, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "formatted")
+    return format_turns(turns).join(heads, ["tree", "leaf"]).select(F.col("tree.key").alias("tree"), "leaf", "rank", "score", "formatted")
 
 
 def chains(conversations: DataFrame) -> DataFrame:
