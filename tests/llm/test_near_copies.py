@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidecube.llm import near_copies
@@ -54,9 +55,10 @@ def copies():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [near_copies.BLOCK, 400])
-def test_near_copies_are_those_of_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(near_copies, "BLOCK", block)
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 400}, {"CROWD": 20, "PART": 100}, {"_BUCKET": 2}])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(near_copies, k, v)
     rows = copies()
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     kept = near_copies.drop_near_copies(docs)
@@ -64,6 +66,29 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, block):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want and len(want) < len(rows) - 60
 
 
+def test_pairs_at_the_threshold_meet_in_a_table():
+    g = np.random.default_rng(4)
+    met = within = 0
+    for n in [20] * 500 + [200] * 500:  # sets that share 8 of 10 parts
+        both = g.integers(0, 1 << 64, n, np.uint64)
+        a, b = (near_copies.fingerprint(np.unique(np.concatenate([both[: n * 8 // 10], own]))) for own in (both[n * 8 // 10 : n * 9 // 10], both[n * 9 // 10 :]))
+        nodes = np.array([1, 2])
+        tables = near_copies._tables(np.concatenate([a, b]), nodes, 0)
+        met += any(e["x"][0] == e["x"][1] for _, _, _, e in tables)
+        within += int(np.bitwise_count(a[:2] ^ b[:2]).sum()) <= near_copies.FAR
+    assert met >= 985 and within >= 990
+
+
+def test_pairs_within_the_radius_always_meet():
+    g = np.random.default_rng(5)
+    for _ in range(200):
+        bits = np.zeros(32 * near_copies.BLOCKS, np.uint8)
+        bits[g.choice(len(bits), near_copies.BLOCKS * (near_copies.RADIUS + 1) - 1, replace=False)] = 1
+        a = g.integers(0, 1 << 64, near_copies.BLOCKS // 2, np.uint64)
+        b = a ^ np.packbits(bits, bitorder="little").view("<u8")
+        assert any(e["x"][0] == e["x"][1] for _, _, _, e in near_copies._tables(np.concatenate([a, b]), np.array([1, 2]), 0))
+
+
 def test_stage_drops_what_brute_force_links(spark, small):
     corpus = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null").select(*corpus.COLUMNS)

@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, in Java's and Python's regular expressions; ``bytes.split()`` gives the same words.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A broadcast side may have this many rows; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A broadcast side may have this many bytes of values; beyond it Spark joins by shuffle.
+BROADCAST_BYTES = 24 << 20
+#: What a row costs in a broadcast besides its values.
+_ROW_BYTES = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one on one machine, an error on a cluster."""
     if not (top := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="tidecube-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tidecube"
@@ -34,9 +39,25 @@ def materialize(df: DataFrame, label: str, sort: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, so that Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values of df, from one aggregate; nested values other than arrays of numbers or text count by their JSON."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            return F.size(c) * 8
+        if isinstance(kind, T.StructType):
+            return sum((F.coalesce(of(c[f.name], f.dataType), F.lit(0)) for f in kind), F.lit(0))
+        return F.length(F.to_json(F.struct(c.alias("x")))) if isinstance(kind, (T.ArrayType, T.MapType)) else F.lit(8)
+
+    total = sum((F.coalesce(of(F.col(f.name), f.dataType), F.lit(0)).cast("long") for f in df.schema), F.lit(_ROW_BYTES).cast("long"))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if its values were measured to fit; else as it is, so that Spark shuffles both sides."""
+    return F.broadcast(df) if value_bytes(df) <= most else df
 
 
 def crc_mod(id_col: str, n: int) -> Column:
@@ -52,3 +73,10 @@ def word_count(text: Column) -> Column:
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lean_arrow() -> None:
+    """In a Python worker: give the memory of Arrow batches back when they are done, instead of keeping it for the next task."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())

@@ -219,7 +219,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["item", "item_tokens"])
 
     whole = items.mapInArrow(item_tokens, T.StructType([items.schema[0], T.StructField("item_tokens", T.ArrayType(T.LongType()))]))
-    pairs = met.join(segments.select("seg", "id", "start", "tokens"), "seg").join(maybe_broadcast(whole, 50_000), "item").select("id", "item", "start", "diag", "tokens", "item_tokens")
+    pairs = met.join(segments.select("seg", "id", "start", "tokens"), "seg").join(maybe_broadcast(materialize(whole, "items")), "item").select("id", "item", "start", "diag", "tokens", "item_tokens")
     checked = _verified(pairs, d.schema[0], items.schema[0])
     best = F.max_by(F.struct("doc_start", "item_start", "n_tokens", "n_matched", "item_tokens"), F.struct("n_matched", -F.col("doc_start"), -F.col("item_start"), "n_tokens"))
     return checked.groupBy("id", "item").agg(best.alias("b")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*")

@@ -5,36 +5,40 @@ right into phrases, each the longest match that the automaton has from there; a
 few. The phrases of the languages are compared after normalising by the sample's size: phrases * log2(sample + 1) per
 character, an estimate of the cross entropy; the least wins.
 
-Automata are built one a language in Spark tasks, become one table of transitions over an alphabet of letter classes, and
-parse many pieces of texts side by side. Texts are parsed whole, in pieces of PIECE characters that start a new phrase.
+Automata are built one a language in Spark tasks over all letters that the sample has, and travel as combs: the rows of
+their transition table laid into each other, so that they take as much room as they have transitions, in any script. Many
+pieces of texts are parsed side by side. Texts are parsed whole, in pieces of PIECE characters that start a new phrase.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, cached_property
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecube.llm.common import materialize
+from tidecube.llm.common import lean_arrow, materialize
 
-#: Labelled texts of a language that the sample is drawn from, the characters of each, and of the sample.
-SAMPLE_DOCS, SAMPLE_CHARS_A_DOC, SAMPLE_CHARS = 60, 2_000, 40_000
-#: Letters that get a class of their own; others are class 0, which no automaton knows.
-ALPHABET = 95
+#: Labelled texts that a language is learned from, at most: drawn by the hash of id and text.
+SAMPLE_DOCS = 60
+#: Of a longer one of them SPREAD pieces that together have so many characters are read, evenly spread from its start to its end.
+SAMPLE_CHARS_A_DOC, SPREAD = 20_000, 20
 PIECE = 1_024
-_LANES = 1 << 21
+#: Places that a state's transitions are tried at.
+TRIES = 24
+_LANES = 1 << 20
 UNDETERMINED = "und"
 
 
-def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Transitions [state, letter] of the suffix automaton of ``codes`` (1 to letters-1); 0: none, states from 1."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of ``codes``; states from 1, the root; a code of 0 is no letter."""
     nxt: list[dict[int, int] | None] = [None, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -70,18 +74,57 @@ def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
                 link[q] = copy
                 link[cur] = copy
         last = cur
-    table = np.zeros((len(nxt), letters), np.int32)
-    for s, to in enumerate(nxt[1:], 1):
+    return [to or {} for to in nxt]
+
+
+@dataclass
+class Comb:
+    """An automaton's transitions: from state s by letter c to target[base[s] + c], if owner[base[s] + c] is s. root: those of state 1."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    root: np.ndarray
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states, 0 where there is none."""
+        at = self.base[state] + c
+        return self.target[at] * (self.owner[at] == state)
+
+
+def comb(automaton: list[dict[int, int]], letters: int) -> Comb:
+    """Lays the states' transitions into each other, those with most letters first, at the first of TRIES places where all letters find room, else behind the last."""
+    size = 2 * letters + sum(map(len, automaton)) + 1
+    base, used, target, owner = np.zeros(len(automaton), np.int32), bytearray(size), [0] * size, [0] * size
+    low = end = letters  # no place before low is free, all from end on are; bases are not negative
+    for s in sorted(range(len(automaton)), key=lambda s: -len(automaton[s])):
+        if not (to := automaton[s]):
+            break
+        rest = [c - min(to) for c in to if c != min(to)]
+        low = at = used.find(0, low)
+        for _ in range(TRIES):
+            if not any(used[at + c] for c in rest):
+                break
+            at = used.find(0, at + 1)
+        else:
+            at = end
+        last = at + max(to) - min(to)
+        end = max(end, last + 1)
+        if (more := end + letters + 1 - size) > 0:
+            used.extend(bytes(more))
+            target += [0] * more
+            owner += [0] * more
+            size += more
+        base[s] = at - min(to)
         for c, q in to.items():
-            table[s, c] = q
-    return table
+            i = base[s] + c
+            used[i], target[i], owner[i] = 1, q, s
+    root = np.array([automaton[1].get(c, 0) for c in range(letters)], np.int32)
+    return Comb(base, np.array(owner[: end + letters], np.int32), np.array(target[: end + letters], np.int32), root)
 
 
-def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def phrases(automaton: Comb, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Number of phrases of each piece codes[start : start + length]; all pieces advance together."""
-    letters = table.shape[1]
-    flat = table.reshape(-1)
-    root = flat[letters : 2 * letters]
     order = np.argsort(-lengths, kind="stable")
     starts, ends = starts[order], np.sort(lengths)[::-1]
     state = np.ones(len(starts), np.int32)
@@ -90,14 +133,15 @@ def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: n
     for t in range(int(ends[0]) if len(ends) else 0):
         active = int(np.searchsorted(-ends[:active], -t, "left"))  # pieces longer than t
         c = codes[starts[:active] + t]
-        to = flat[state[:active] * letters + c]
+        to = automaton.step(state[:active], c)
         broken = to == 0
-        count[:active] += broken
-        np.copyto(to, root[c], where=broken)
+        count[:active] += broken & (state[:active] != 1)
+        np.copyto(to, automaton.root[c], where=broken)
+        count[:active] += to == 0  # a letter that the language lacks is a phrase of its own
         np.maximum(to, 1, out=to)
         state[:active] = to
     out = np.empty(len(starts), np.int64)
-    out[order] = count + 1
+    out[order] = count + (state != 1)  # the phrase that the piece ends in, if one is open
     return out
 
 
@@ -108,11 +152,11 @@ def _letters() -> np.ndarray:
 
 
 class Codes:
-    """Maps texts to classes of lower-cased letters (0: a letter that the alphabet lacks); runs of anything else are one space."""
+    """Maps texts to numbers of lower-cased letters (0: a letter that no sample has); runs of anything else are one space."""
 
     def __init__(self, alphabet: dict[str, int]):
         self.space = alphabet[" "]
-        self.table = np.full(0x110000, self.space, np.uint8)
+        self.table = np.full(0x110000, self.space, np.int32)
         self.table[_letters()] = 0
         for ch, i in alphabet.items():
             for form in {ch, ch.upper()}:
@@ -131,35 +175,27 @@ def clean(text: str) -> str:
     return " ".join("".join(ch if ch.isalpha() else " " for ch in text.lower()).split())
 
 
-def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text, h) of at most ``docs`` rows for each language, those with the least hashes of their ids.
+def _spread(text: Column) -> Column:
+    """The text, or if it is long pieces of it from its start to its end."""
+    apart = (F.length(text) - SAMPLE_CHARS_A_DOC // SPREAD) / (SPREAD - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: F.substring(text, (i * apart).cast("int") + 1, F.lit(SAMPLE_CHARS_A_DOC // SPREAD)))
+    return F.when(F.length(text) > SAMPLE_CHARS_A_DOC, F.array_join(pieces, "\n")).otherwise(text)
 
-    The rows are chosen on ids alone; texts are read for the chosen ones only and cut to SAMPLE_CHARS_A_DOC.
-    """
-    ids = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
-    chosen = materialize(ids.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= docs).select("lang", "h"), "language-chosen")
-    own = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS_A_DOC).alias("text"))
-    return own.join(F.broadcast(chosen.distinct()), ["lang", "h"], "left_semi")  # at most ``docs`` rows a language
 
+def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(lang, h, text) of at most ``docs`` rows for each language, those with the least hashes of id and text; equal rows are one."""
+    own = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    hashes = own.select("lang", "h").distinct()
+    chosen = materialize(hashes.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs).select("lang", "h"), "language-chosen")
+    met = own.join(F.broadcast(chosen), ["lang", "h"], "left_semi")  # at most ``docs`` rows a language
+    return met.select("lang", "h", _spread(F.col("text")).alias("text")).dropDuplicates(["lang", "h"])
 
-class LanguageModel:
-    """Languages, their transitions and sample sizes, and the alphabet they share.
 
-    Transitions travel as (states, place, target), the places of a table [state, letter] that aren't 0; a worker makes the
-    tables when it first needs them.
-    """
-
-    def __init__(self, alphabet: dict[str, int], languages: list[str], transitions: list[tuple[int, np.ndarray, np.ndarray]], sizes: list[int]):
-        self.alphabet, self.languages, self.transitions, self.sizes = alphabet, languages, transitions, sizes
+class LanguageModel:
+    """Languages, their combs and sample sizes, and the alphabet they share: a number from 1 for every letter of the samples."""
 
-    @cached_property
-    def tables(self) -> list[np.ndarray]:
-        out = []
-        for states, place, target in self.transitions:
-            table = np.zeros((states, ALPHABET + 1), np.int32)
-            table.reshape(-1)[place] = target
-            out.append(table)
-        return out
+    def __init__(self, alphabet: dict[str, int], languages: list[str], combs: list[Comb], sizes: list[int]):
+        self.alphabet, self.languages, self.combs, self.sizes = alphabet, languages, combs, sizes
 
     def cross_entropy(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Normalised phrases [text, language] of texts whose codes lie one after the other."""
@@ -170,50 +206,46 @@ class LanguageModel:
         starts = (ends - lengths)[text] + within * PIECE
         size = np.minimum(PIECE, lengths[text] - within * PIECE)
         out = np.empty((len(lengths), len(self.languages)))
-        for k, (table, sample) in enumerate(zip(self.tables, self.sizes)):
-            count = np.bincount(text, weights=phrases(table, codes, starts, size), minlength=len(lengths))
+        for k, (automaton, sample) in enumerate(zip(self.combs, self.sizes)):
+            count = np.bincount(text, weights=phrases(automaton, codes, starts, size), minlength=len(lengths))
             out[:, k] = count * np.log2(sample + 1) / np.maximum(1, lengths)
         return out
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from rows with a language; the sample is bounded by SAMPLE_CHARS for each. Collects the automata only."""
+    """Learn from rows with a language, at most SAMPLE_DOCS of each. Collects the letters and the automata only, which that bounds.
+
+    Null and repeated ids are rows like any other. Languages without a letter in their texts are learned too, and fit nothing.
+    """
     sample = materialize(training_sample(labelled, id_col, text_col, lang_col), "language-sample")
-    letters = sample.select(F.explode(F.split(F.lower("text"), "")).alias("ch")).groupBy("ch").agg(F.count("*").alias("n")).where(F.col("ch").rlike(r"^\p{L}$"))
-    top = [r["ch"] for r in letters.orderBy(F.desc("n"), "ch").limit(ALPHABET - 1).collect()]
-    alphabet = {ch: i for i, ch in enumerate([" ", *top], 1)}
-    chars = SAMPLE_CHARS
+    letters = sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("ch")).where(F.col("ch").rlike(r"^\p{L}$")).distinct()
+    alphabet = {ch: i for i, ch in enumerate([" ", *sorted(r["ch"] for r in letters.collect())], 1)}
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["h", "text"], kind="stable")
         codes: list[int] = []
-        for text in rows["text"]:
+        for text in rows.sort_values("h")["text"]:
             codes += [alphabet.get(ch, 0) for ch in clean(text)] + [0]
-            if len(codes) > chars:
-                break
-        codes = codes[:chars]
-        table = suffix_automaton(codes, ALPHABET + 1)
-        place = np.flatnonzero(table)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "n": [len(codes)], "states": [len(table)], "place": [place.astype(np.int32).tobytes()], "target": [table.reshape(-1)[place].tobytes()]})
+        c = comb(suffix_automaton(codes), len(alphabet) + 1)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "n": [len(codes)], **{k: [v.tobytes()] for k, v in vars(c).items()}})
 
-    built = sample.groupBy("lang").applyInPandas(build, "lang string, n long, states long, place binary, target binary").orderBy("lang").collect()
-    transitions = [(r["states"], np.frombuffer(r["place"], np.int32), np.frombuffer(r["target"], np.int32)) for r in built]
-    return LanguageModel(alphabet, [r["lang"] for r in built], transitions, [r["n"] for r in built])
+    built = sample.groupBy("lang").applyInPandas(build, "lang string, n long, base binary, owner binary, target binary, root binary").orderBy("lang").collect()
+    combs = [Comb(*(np.frombuffer(r[k], np.int32) for k in ("base", "owner", "target", "root"))) for r in built]
+    return LanguageModel(alphabet, [r["lang"] for r in built], combs, [r["n"] for r in built])
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, entropy (bits a character under the winner) for every row.
 
     ``und`` with score 0 for null texts, texts without a letter, or if no language was learned. Score: the second
     best language's cross entropy over the sum of it and the best's, 0.5 if they tie, then the first in code point
     order wins; 1 if only one language was learned. Texts of any length are parsed whole. The id may be of any type, a
-    struct of other columns too; ``with_text`` returns the texts as well.
+    struct of other columns too; repeated rows are judged alike. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    more = [docs.schema[text_col]] if with_text else []
-    schema = T.StructType([docs.schema[id_col], *more, *T._parse_datatype_string("lang_pred string, score double, entropy double").fields])
+    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("lang_pred string, score double, entropy double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_arrow()
         known = shared.value
         coder = Codes(known.alphabet)
         for batch in batches:
@@ -246,6 +278,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     parse()
                     rows, codes, size = [], [], 0
             parse()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + with_text], pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

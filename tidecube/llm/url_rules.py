@@ -77,7 +77,7 @@ def matched_rules(urls: DataFrame, rules: DataFrame, key: str, tokens: str = "to
     freq = urls.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     posting = rules.select("rule_id", F.col("tokens").alias("needs"), "support", "confidence", F.explode("tokens").alias("t")).join(freq, "t", "left")
     rarest = posting.groupBy("rule_id").agg(F.min_by(F.struct("t", "needs", "support", "confidence"), F.struct(F.coalesce("n", F.lit(0)), "t")).alias("r")).select("r.*")
-    met = urls.select(key, F.col(tokens).alias("has"), F.explode(tokens).alias("t")).join(maybe_broadcast(rarest, 100_000), "t")
+    met = urls.select(key, F.col(tokens).alias("has"), F.explode(tokens).alias("t")).join(maybe_broadcast(rarest), "t")
     met = met.where(F.size(F.array_except("needs", "has")) == 0)
     return met.groupBy(key).agg(F.max(F.struct("confidence", "support", "needs")).alias("best")).select(key, F.col("best.needs").alias("tokens"), F.col("best.confidence").alias("confidence"))
 
