@@ -29,10 +29,10 @@ from tidecube.llm.common import lean_arrow, materialize
 #: Labelled texts that a language is learned from, at most: drawn by the hash of id and text.
 SAMPLE_DOCS = 60
 #: Of a longer one of them SPREAD pieces that together have so many characters are read, evenly spread from its start to its end.
-SAMPLE_CHARS_A_DOC, SPREAD = 20_000, 20
+SAMPLE_CHARS_A_DOC, SPREAD = 1_000, 10
 PIECE = 1_024
 #: Places that a state's transitions are tried at.
-TRIES = 24
+TRIES = 4
 _LANES = 1 << 20
 UNDETERMINED = "und"
 
