@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecube.functions import dates
 from tidecube.functions.stats import count_where, map_stat, normalised_entropy, positive, regression_metrics
-from tidecube.operators.joins import small
-from tidecube.operators.ordering import average_rank, share_of_total
+from tidecube.operators.ordering import average_rank, quantiles, share_of_total, up_to
 
 
 def effort_by(df: DataFrame, keys: Sequence[str], hours: str = "hours", vessel: str = "vessel_id") -> DataFrame:
@@ -183,7 +182,7 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "spearman")
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
     """One row: distinct linear quantiles as __edges."""
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(column, [k / bins for k in range(bins + 1)]))).alias("__edges"))
+    return quantiles(df, F.col(column), [k / bins for k in range(bins + 1)]).select(F.array_distinct("__q").alias("__edges"))
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -204,23 +203,25 @@ def metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFram
 
 def hotspots(df: DataFrame, y: str, p: str, ties: Sequence[str], quantile: float = 0.9) -> DataFrame:
     """One row: the hotspot threshold of y, the number k of rows at or above it, and how many of them are among the k rows predicted highest."""
-    edge = F.broadcast(df.agg(F.percentile(y, quantile).alias("threshold")))  # one row
+    edge = F.broadcast(quantiles(df, F.col(y), [quantile]).select(F.col("__q")[0].alias("threshold")))  # one row
     marked = df.join(edge, F.lit(True)).withColumn("hot", F.col(y) >= F.col("threshold"))
-    k = marked.agg(count_where(F.col("hot"))).first()[0]
-    top = marked.orderBy(F.desc(p), *ties).limit(k)
-    hit = top.agg(count_where(F.col("hot")).alias("hits"), F.coalesce(F.sum(y), F.lit(0.0)).alias("captured"))
-    total = marked.agg(F.max("threshold").alias("threshold"), F.lit(k).cast("long").alias("k"), F.sum(y).alias("all"))
-    return total.join(F.broadcast(hit), F.lit(True)).select("threshold", "k", "hits", F.try_divide("hits", "k").alias("recall"), F.try_divide("captured", "all").alias("captured_fraction"))
+    k = F.broadcast(marked.agg(count_where(F.col("hot")).alias("wanted")))  # one row
+    top = up_to(marked, [-F.col(p), *map(F.col, ties)], k, F.col("wanted"))
+    inside = F.col("__in")
+    total = top.agg(F.max("threshold").alias("threshold"), count_where(F.col("hot")).alias("k"), F.sum(y).alias("all"), count_where(F.col("hot") & inside).alias("hits"), F.coalesce(F.sum(F.when(inside, F.col(y))), F.lit(0.0)).alias("captured"))
+    return total.select("threshold", "k", "hits", F.try_divide("hits", "k").alias("recall"), F.try_divide("captured", "all").alias("captured_fraction"))
 
 
 def robust_range(df: DataFrame, column: str, symmetric: bool = False) -> DataFrame:
     """One row (lo, hi): the middle 99 % of the values, or plus and minus the 99.5th percentile of their sizes; never empty: a flat range falls back to the extremes, then to one more."""
-    c = F.col(column)
+    c, q = F.col(column), F.col("__q")
     if symmetric:
-        hi = F.percentile(F.abs(c), 0.995)
-        q = df.agg((-hi).alias("lo"), hi.alias("hi"), (-F.max(F.abs(c))).alias("l2"), F.max(F.abs(c)).alias("h2"))
+        ends = df.agg((-F.max(F.abs(c))).alias("l2"), F.max(F.abs(c)).alias("h2"))
+        q = quantiles(df, F.abs(c), [0.995]).select((-q[0]).alias("lo"), q[0].alias("hi"))
     else:
-        q = df.agg(F.percentile(c, 0.005).alias("lo"), F.percentile(c, 0.995).alias("hi"), F.min(c).alias("l2"), F.max(c).alias("h2"))
+        ends = df.agg(F.min(c).alias("l2"), F.max(c).alias("h2"))
+        q = quantiles(df, c, [0.005, 0.995]).select(q[0].alias("lo"), q[1].alias("hi"))
+    q = ends.join(F.broadcast(q), F.lit(True))  # one row each
     flat, flatter = F.col("lo") >= F.col("hi"), F.col("l2") >= F.col("h2")
     return q.select(F.when(flat, F.col("l2")).otherwise(F.col("lo")).alias("lo"), F.when(flat & flatter, F.col("h2") + 1).when(flat, F.col("h2")).otherwise(F.col("hi")).alias("hi"))
 
@@ -240,7 +241,7 @@ def density(df: DataFrame, x: str, y: str, step: float) -> DataFrame:
 
 def colour_breaks(df: DataFrame, column: str, n: int = 6, least: float = 1e-6) -> list[float]:
     """n + 1 rising breaks: quantiles of the values above ``least``; geometric between the extremes where quantiles repeat, linear where there is no room."""
-    got = df.where(F.col(column) > least).agg(F.percentile(column, [k / n for k in range(n + 1)]).alias("q")).first()["q"]
+    got = quantiles(df.where(F.col(column) > least), F.col(column), [k / n for k in range(n + 1)]).first()[0]
     if not got:
         return [least * (1 + k) for k in range(n + 1)]
     if all(a < b for a, b in zip(got, got[1:])):
@@ -265,4 +266,4 @@ def week_ranking(df: DataFrame, value: str, keys: Sequence[str], cell: str = "h3
 
 def grid_rollup(df: DataFrame, lookup: DataFrame, keys: Sequence[str], values: Sequence[str], cell: str = "h3") -> DataFrame:
     """Distinct cells and means for each coarse cell of the lookup (cell, grid) and key; means skip nulls."""
-    return df.join(small(lookup), cell).groupBy("grid", *keys).agg(F.count_distinct(cell).alias("cells"), *(F.avg(v).alias(f"{v}_mean") for v in values))
+    return df.join(lookup, cell).groupBy("grid", *keys).agg(F.count_distinct(cell).alias("cells"), *(F.avg(v).alias(f"{v}_mean") for v in values))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecube.operators.joins import small
+from tidecube.operators.ordering import running_total
 
 #: Steps from an axial position (q, r) to the six around it.
 STEPS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
@@ -28,7 +27,7 @@ def lattice_edges(cells: DataFrame, cell: str = "h3") -> DataFrame:
     """(cell, side 1 to 6, neighbor) of cells with axial q and r; only neighbors that are in the grid."""
     offs = F.array(*(F.struct(F.lit(i).cast("long").alias("side"), (F.col("q") + a).alias("q"), (F.col("r") + b).alias("r")) for i, (a, b) in enumerate(STEPS, 1)))
     wanted = cells.select(F.col(cell).alias("cell"), F.explode(offs).alias("o")).select("cell", "o.*")
-    return wanted.join(small(cells.select("q", "r", F.col(cell).alias("neighbor"))), ["q", "r"]).select(F.col("cell").alias(cell), "side", "neighbor")
+    return wanted.join(cells.select("q", "r", F.col(cell).alias("neighbor")), ["q", "r"]).select(F.col("cell").alias(cell), "side", "neighbor")
 
 
 def edges_from_wide(wide: DataFrame, cell: str = "h3", columns: tuple[str, ...] = ("n1", "n2", "n3", "n4", "n5", "n6")) -> DataFrame:
@@ -43,9 +42,9 @@ def wide_neighbors(edges: DataFrame, cells: DataFrame, cell: str = "h3") -> Data
 
 
 def neighbor_index(wide: DataFrame, cell: str = "h3") -> DataFrame:
-    """(idx, n1 to n6) with dense row numbers by id instead of ids, -1 for none. A grid's cells, not its days."""
-    idx = wide.select(cell, (F.row_number().over(W.orderBy(cell)) - 1).cast("long").alias("idx"))
-    long = wide.select(cell, F.posexplode(F.array(*(f"n{i}" for i in range(1, 7)))).alias("side", "neighbor")).join(small(idx.withColumnRenamed(cell, "neighbor").withColumnRenamed("idx", "to")), "neighbor", "left")
+    """(idx, n1 to n6) with dense row numbers by id instead of ids, -1 for none."""
+    idx = running_total(wide.select(cell, F.lit(1).alias("one")), cell, "one", "idx").select(cell, F.col("idx").cast("long").alias("idx"))
+    long = wide.select(cell, F.posexplode(F.array(*(f"n{i}" for i in range(1, 7)))).alias("side", "neighbor")).join(idx.withColumnRenamed(cell, "neighbor").withColumnRenamed("idx", "to"), "neighbor", "left")
     sides = long.groupBy(cell).agg(*(F.coalesce(F.max(F.when(F.col("side") == i, F.col("to"))), F.lit(-1)).alias(f"n{i + 1}") for i in range(6)))
     return idx.join(sides, cell).select("idx", *(f"n{i}" for i in range(1, 7)))
 
@@ -53,7 +52,7 @@ def neighbor_index(wide: DataFrame, cell: str = "h3") -> DataFrame:
 def disk(edges: DataFrame, cells: DataFrame, k: int, cell: str = "h3") -> DataFrame:
     """(cell, neighbor) of all cells within k steps, the cell itself too."""
     out = cells.select(cell, F.col(cell).alias("neighbor"))
-    step = small(edges.select(F.col(cell).alias("neighbor"), F.col("neighbor").alias("next")))
+    step = edges.select(F.col(cell).alias("neighbor"), F.col("neighbor").alias("next"))
     for _ in range(k):
         out = out.union(out.join(step, "neighbor").select(cell, F.col("next").alias("neighbor"))).distinct()
     return out
@@ -62,7 +61,7 @@ def disk(edges: DataFrame, cells: DataFrame, k: int, cell: str = "h3") -> DataFr
 def neighbor_gradient(values: DataFrame, edges: DataFrame, columns: list[str], keys: tuple[str, str] = ("h3", "date")) -> DataFrame:
     """(cell, date, <column>_grad): root mean square difference to the neighbors of the same day that have a value; null if none has, or the cell itself has none."""
     cell, date = keys
-    near = values.join(small(edges.select(cell, "neighbor")), cell)
+    near = values.join(edges.select(cell, "neighbor"), cell)
     other = values.select(F.col(cell).alias("neighbor"), date, *(F.col(c).alias(f"__{c}") for c in columns))
     met = near.join(other, ["neighbor", date]).groupBy(cell, date).agg(*(F.sqrt(F.avg(F.pow(F.col(c) - F.col(f"__{c}"), F.lit(2)))).alias(f"{c}_grad") for c in columns))
     return values.select(cell, date).join(met, [cell, date], "left")

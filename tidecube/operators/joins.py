@@ -1,4 +1,7 @@
-"""Joins of the cube: attaching, zero filling, species expansion, completeness, nearest dates."""
+"""Joins of the cube: attaching, zero filling, species expansion, completeness, nearest dates.
+
+Which side is broadcast is left to Catalyst's size estimates and to adaptive execution; only sides of one row are hinted.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side with at most so many rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def attach(df: DataFrame, to: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join to a table of cells, classes or codes."""
-    return df.join(small(to), list(on), "left")
+    return df.join(to, list(on), "left")
 
 
 def zero_fill(df: DataFrame, values: DataFrame, on: Sequence[str], fills: Mapping[str, object] | None = None) -> DataFrame:
@@ -46,7 +41,7 @@ def observed_days(presence: DataFrame, cell: str = "h3", date: str = "date", kin
     The kinds of a day are one short array, so the days' cells are not multiplied in a join but by explode.
     """
     kinds = presence.groupBy(date).agg(F.array_sort(F.collect_set(kind)).alias("__kinds"))
-    return presence.select(cell, date).distinct().join(small(kinds), date).select(cell, date, F.explode("__kinds").alias(kind))
+    return presence.select(cell, date).distinct().join(kinds, date).select(cell, date, F.explode("__kinds").alias(kind))
 
 
 def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +79,12 @@ def nearest_date(dates: DataFrame, sources: DataFrame, date: str = "date", sourc
     take_after = before.isNull() | (F.datediff(after, F.col(date)) < F.datediff(F.col(date), before))
     matched = days.select(date, F.when(after.isNotNull() & take_after, after).otherwise(before).alias(source))
     matched = matched.withColumn("day_offset", F.datediff(F.col(source), F.col(date)).cast("long"))
-    return dates.join(small(matched), date)
+    return dates.join(matched, date)
 
 
 def class_of_prototype(rows: DataFrame, prototypes: DataFrame, on: str = "som_prototype") -> DataFrame:
     """Rows with the class of their prototype; a few hundred prototypes."""
-    return rows.join(small(prototypes), on)
+    return rows.join(prototypes, on)
 
 
 def where_any(df: DataFrame, **wanted: object) -> DataFrame:

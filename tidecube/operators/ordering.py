@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecube.operators.joins import small
-
 
 def top_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order, which must be total."""
@@ -29,22 +29,65 @@ def dominant_class(df: DataFrame, keys: list[str], cls: str, score: str | None =
 def share_of_total(df: DataFrame, value: str, keys: list[str], name: str, scale: float = 1.0) -> DataFrame:
     """Each row's share of its group's sum; null if that is 0. The sums are made first, so a large group is no single task's work."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
-    return df.join(small(sums), keys).withColumn(name, F.try_divide(F.lit(scale) * F.col(value), F.col("__sum"))).drop("__sum")
+    return df.join(sums, keys).withColumn(name, F.try_divide(F.lit(scale) * F.col(value), F.col("__sum"))).drop("__sum")
+
+
+#: Quantile buckets that a whole table is cut into before anything is ordered.
+BUCKETS = 1_000
+
+
+def bucketed(df: DataFrame, order: Column, buckets: int = BUCKETS) -> DataFrame:
+    """df with __b, which rises with ``order`` (numeric, nulls first): about even buckets between approximate quantiles."""
+    v = order.cast("double")
+    cuts = F.broadcast(df.agg(F.percentile_approx(v, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("__cuts")))  # one row
+    # The cuts are in order: all that lie below come first.
+    return df.join(cuts, F.lit(True)).withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < v))).drop("__cuts")
+
 
+def up_to(df: DataFrame, order: Sequence[Column], more: DataFrame | None, wanted: Column) -> DataFrame:
+    """df with __in on as many rows as ``wanted`` says, the first in a total order that starts with a number.
 
-def running_total(df: DataFrame, order: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+    ``wanted`` is an expression over ``total`` (the number of rows) and the columns of ``more``, a table of one row. Rows
+    are counted by bucket, and only the bucket that holds the last one wanted is ordered.
+    """
+    key = F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order)))
+    placed = bucketed(df.select(key.alias("__k")), F.col("__k.k0"))
+    sums = W.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row a bucket
+    counts = placed.groupBy("__b").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(sums)).withColumn("total", F.sum("n").over(W.partitionBy()))
+    counts = counts.join(more, F.lit(True)) if more is not None else counts
+    hit = counts.withColumn("w", wanted).where((F.col("upto") - F.col("n") < F.col("w")) & (F.col("w") <= F.col("upto"))).select("__b", (F.col("w") - F.col("upto") + F.col("n")).alias("__at"))
+    last = placed.join(F.broadcast(hit), "__b").withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy("__k"))).where(F.col("__r") == F.col("__at"))
+    return df.join(F.broadcast(last.select(F.col("__k").alias("__edge"))), F.lit(True), "left").withColumn("__in", F.coalesce(key <= F.col("__edge"), F.lit(False))).drop("__edge")  # one row
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
     """df (``order`` unique and numeric) with the sum of ``value`` over all smaller ``order``.
 
     Quantiles of ``order`` cut the table into buckets; each is summed on its own, and starts from the sums before it.
     """
-    cuts = F.broadcast(df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000).alias("__cuts")))  # one row
-    own = df.join(cuts, F.lit(True)).withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(order)))).drop("__cuts")
+    own = bucketed(df, F.col(order), buckets)
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
     starts = own.groupBy("__b").agg(F.sum(value).alias("__s")).select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start"))
     within = F.coalesce(F.sum(value).over(W.partitionBy("__b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return own.withColumn("__w", within).join(F.broadcast(starts), "__b").withColumn(name, F.col("__start") + F.col("__w")).drop("__b", "__w", "__start")
 
 
+def quantiles(df: DataFrame, value: Column, qs: Sequence[float]) -> DataFrame:
+    """One row with __q, the exact quantiles of a number with linear interpolation (null without values).
+
+    Values are counted first, and the counts summed by buckets, so that no task holds the values of a whole table.
+    """
+    counts = df.select(value.cast("double").alias("__v")).where("__v is not null").groupBy("__v").agg(F.count("*").alias("__n"))
+    placed = running_total(counts, "__v", "__n", "__before")
+    total = F.broadcast(counts.agg(F.sum("__n").alias("__total")))  # one row
+    place = lambda q, end: end((F.col("__total") - 1) * F.lit(float(q)))
+    at = lambda i: F.max(F.when((F.col("__before") <= i) & (i < F.col("__before") + F.col("__n")), F.col("__v")))
+    found = placed.join(total, F.lit(True)).agg(F.max("__total").alias("__total"), *(at(place(q, f)).alias(f"{n}{k}") for k, q in enumerate(qs) for n, f in (("lo", F.floor), ("hi", F.ceil))))
+    part = lambda q: place(q, lambda x: x) - place(q, F.floor)
+    values = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * part(q) for k, q in enumerate(qs)]
+    return found.select(F.when(F.col("__total").isNotNull(), F.array(*values)).alias("__q"))
+
+
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the rank of a numeric column from 1, ties sharing the mean of their places. Values are counted before they are ordered."""
     counts = df.groupBy(column).agg(F.count("*").alias("__n"))
@@ -61,4 +104,4 @@ def first_part(df: DataFrame, date: str, ties: list[str], share: float) -> DataF
     before = W.orderBy(date).rowsBetween(W.unboundedPreceding, -1)  # one row a day
     cut = days.select(date, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), (F.sum("__n").over(W.partitionBy()) * F.lit(share)).cast("long").alias("__cut"))
     at = F.row_number().over(W.partitionBy(date).orderBy(*ties))
-    return df.withColumn("__at", at).join(small(cut), date).withColumn("is_first", F.col("__before") + F.col("__at") <= F.col("__cut")).drop("__at", "__before", "__cut")
+    return df.withColumn("__at", at).join(cut, date).withColumn("is_first", F.col("__before") + F.col("__at") <= F.col("__cut")).drop("__at", "__before", "__cut")

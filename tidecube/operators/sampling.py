@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidecube.operators.joins import small
+from tidecube.operators.ordering import up_to
 
 
 def mixed_key(*keys: Column, seed: int = 42) -> Column:
@@ -35,8 +35,8 @@ def sample_per(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFr
 def balance(df: DataFrame, target: str, *order: Column) -> DataFrame:
     """All positive rows, and as many of the others at most, the first by the hash order."""
     pos, rest = df.where(F.col(target) > 0), df.where(~F.coalesce(F.col(target) > 0, F.lit(False)))
-    n = pos.count()
-    return pos.unionByName(rest.orderBy(*order).limit(n)) if n else pos
+    wanted = F.broadcast(pos.agg(F.count("*").alias("wanted")))  # one row
+    return pos.unionByName(up_to(rest, order, wanted, F.least("wanted", "total")).where("__in").drop("__in"))
 
 
 def sample_weight(y: Column, power: float = 0.75) -> Column:
@@ -44,16 +44,8 @@ def sample_weight(y: Column, power: float = 0.75) -> Column:
 
 
 def hold_out(df: DataFrame, share: float, *order: Column) -> DataFrame:
-    """df with is_test on round(n * share) rows, the first by the hash order.
-
-    The cut is the hash of the last test row; only it reaches the driver.
-    """
-    n = round(df.count() * share)
-    key = F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order)))
-    if not n:
-        return df.withColumn("is_test", F.lit(False))
-    edge = F.broadcast(df.select(key.alias("__edge")).orderBy("__edge").limit(n).agg(F.max("__edge").alias("__edge")))  # one row
-    return df.join(edge, F.lit(True)).withColumn("is_test", key <= F.col("__edge")).drop("__edge")
+    """df with is_test on round(n * share) rows, the first by the hash order."""
+    return up_to(df, order, None, F.bround(F.col("total") * share).cast("long")).withColumnRenamed("__in", "is_test")
 
 
 def hold_out_groups(df: DataFrame, group: str, share: float, order: Column) -> DataFrame:
@@ -62,15 +54,15 @@ def hold_out_groups(df: DataFrame, group: str, share: float, order: Column) -> D
     keyed = sizes.withColumn("__k", order)
     before = F.coalesce(F.sum("__n").over(W.orderBy("__k", group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a group
     chosen = keyed.withColumn("__before", before).withColumn("__all", F.sum("__n").over(W.partitionBy())).where(F.col("__before") < F.col("__all") * share)
-    return df.join(small(chosen.select(group, F.lit(True).alias("__t"))), group, "left").withColumn("is_test", F.coalesce("__t", F.lit(False))).drop("__t")
+    return df.join(chosen.select(group, F.lit(True).alias("__t")), group, "left").withColumn("is_test", F.coalesce("__t", F.lit(False))).drop("__t")
 
 
 def buffered_split(df: DataFrame, ring: DataFrame, cell: str = "h3") -> DataFrame:
     """df (with is_test) with part: test, train, or excluded for cells within the ring (cell, neighbor) of a test cell."""
     tests = df.where("is_test").select(cell).distinct()
-    near = ring.join(small(tests), cell).select(F.col("neighbor").alias(cell)).distinct().withColumn("__near", F.lit(True))
+    near = ring.join(tests, cell).select(F.col("neighbor").alias(cell)).distinct().withColumn("__near", F.lit(True))
     part = F.when(F.col("is_test"), "test").when(F.col("__near"), "excluded").otherwise("train")
-    return df.join(small(near), cell, "left").withColumn("part", part).drop("__near")
+    return df.join(near, cell, "left").withColumn("part", part).drop("__near")
 
 
 def group_support(df: DataFrame, group: str, kind: str, positive: Column, kinds: list[str]) -> DataFrame:
@@ -80,38 +72,36 @@ def group_support(df: DataFrame, group: str, kind: str, positive: Column, kinds:
     return wide.join(own.groupBy(group).agg(F.count("*").alias("rows")), group).withColumn("total", sum((F.col(k) for k in kinds), F.lit(0))).withColumn("least", F.least(*map(F.col, kinds)) if len(kinds) > 1 else F.col(kinds[0]))
 
 
-def fold_assignment(groups: list[dict], kinds: list[str], folds: int) -> dict[object, int]:
-    """A fold for each group (``group``, ``rows`` and a count for each kind): greedy, the scarcest groups first, even in rows, kinds and groups.
+#: Groups that are dealt to folds on the driver, at most.
+MOST_GROUPS = 10_000
 
-    At most ceil(groups / folds) groups go to a fold. Works on a list of groups, which are a few hundred.
-    """
-    most = math.ceil(len(groups) / folds)
-    order = sorted(groups, key=lambda g: (-min(g[k] for k in kinds), -sum(g[k] for k in kinds), -g["rows"], str(g["group"])))
-    wanted = {k: max(1e-9, sum(g[k] for g in groups) / folds) for k in ("rows", *kinds)}
-    held = [dict.fromkeys(("rows", "n", *kinds), 0) for _ in range(folds)]
-    spread = lambda xs: math.sqrt(sum((x - sum(xs) / len(xs)) ** 2 for x in xs) / len(xs))
 
-    def cost(g: dict, f: int) -> float:
-        then = [h if i != f else {"n": h["n"] + 1, **{k: h[k] + g[k] for k in ("rows", *kinds)}} for i, h in enumerate(held)]
-        missing = sum(h[k] == 0 for h in then for k in kinds)
-        return sum(spread([h[k] for h in then]) / wanted[k] for k in ("rows", *kinds)) + spread([h["n"] for h in then]) / most + 10 * missing
+def fold_assignment(groups: list[dict], kinds: list[str], folds: int) -> dict[object, int]:
+    """A fold for each group (``group``, ``rows`` and a count for each kind), even in rows, in groups and in every kind.
 
+    What a fold holds is measured in shares of its even part. Groups come from the one with the largest shares down, and
+    each goes to the fold where what it brings meets least of the same; ties go to the first fold.
+    """
+    measures = ["rows", "groups", *kinds]
+    table = np.array([[g["rows"], 1, *(g[k] for k in kinds)] for g in groups], float).reshape(len(groups), len(measures))
+    shares = table * folds / np.maximum(table.sum(0), 1)
+    held = np.zeros((folds, len(measures)))
     out = {}
-    for g in order:
-        f = min((f for f in range(folds) if held[f]["n"] < most), key=lambda f: (cost(g, f), f))
-        out[g["group"]] = f
-        held[f]["n"] += 1
-        for k in ("rows", *kinds):
-            held[f][k] += g[k]
+    for i in sorted(range(len(groups)), key=lambda i: (-(shares[i] ** 2).sum(), str(groups[i]["group"]))):
+        f = int((held @ shares[i]).argmin())
+        held[f] += shares[i]
+        out[groups[i]["group"]] = f
     return out
 
 
 def with_folds(df: DataFrame, group: str, kind: str, positive: Column, kinds: list[str], folds: int) -> DataFrame:
-    """df with fold (0 to folds - 1): rows of a group share one. A group is a block, component or class; they are few."""
-    table = [r.asDict() for r in group_support(df.where(F.col(group).isNotNull()), group, kind, positive, kinds).withColumnRenamed(group, "group").collect()]
+    """df with fold (0 to folds - 1): rows of a group share one. A group is a block, component or class; over MOST_GROUPS of them are an error."""
+    table = [r.asDict() for r in group_support(df.where(F.col(group).isNotNull()), group, kind, positive, kinds).withColumnRenamed(group, "group").limit(MOST_GROUPS + 1).collect()]
+    if len(table) > MOST_GROUPS:
+        raise ValueError(f"over {MOST_GROUPS} groups in {group}; fold by a coarser one")
     chosen = fold_assignment(table, kinds, folds)
     rows = df.sparkSession.createDataFrame([(g, f) for g, f in chosen.items()], f"{group} {df.schema[group].dataType.simpleString()}, fold long")
-    return df.join(small(rows), group)
+    return df.join(rows, group)
 
 
 def fold_split(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:

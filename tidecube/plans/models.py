@@ -16,7 +16,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecube.operators.joins import small
+from tidecube.operators.ordering import quantiles
 
 
 @dataclass(frozen=True)
@@ -177,8 +177,8 @@ def density_regressor(df: DataFrame, features: Sequence[str], target: str, k: in
     """(mixture of the positive rows, 1 % and 99 % quantiles of their log density, 99 % quantile of their target)."""
     pos = df.where(F.col(target) > 0)
     m, _ = mixture(pos, features, k, seed)
-    lo, hi = with_log_density(pos, m).agg(F.percentile("log_density", [0.01, 0.99])).first()[0]
-    return m, lo, hi, pos.agg(F.percentile(target, 0.99)).first()[0]
+    lo, hi = quantiles(with_log_density(pos, m), F.col("log_density"), [0.01, 0.99]).first()[0]
+    return m, lo, hi, quantiles(pos, F.col(target), [0.99]).first()[0][0]
 
 
 def density_score(df: DataFrame, model: tuple[Mixture, float, float, float], name: str = "density_log") -> DataFrame:
@@ -226,7 +226,7 @@ def nearest_prototype(df: DataFrame, prototypes: DataFrame, vector: str, key: st
 
     Prototypes are a few hundred: they are one array, and each row takes the least (distance, key) of it.
     """
-    every = small(prototypes.agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("prototype_vector").alias("v"))).alias("__p")))
+    every = prototypes.agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("prototype_vector").alias("v"))).alias("__p"))
     found = F.array_min(F.transform("__p", lambda p: F.struct(F.round(_distance(F.col(vector), p["v"]), tie_digits).alias("d"), p["k"].alias("k"))))
     return df.join(every, F.lit(True)).withColumn("__f", found).withColumn(key, F.col("__f.k")).withColumn("distance", F.col("__f.d")).drop("__p", "__f")
 
@@ -364,7 +364,7 @@ def prototypes_table(df: DataFrame, m: Map, k: int) -> DataFrame:
 
 def partial_dependence(model: PipelineModel, sample: DataFrame, feature: str, points: int = 20) -> DataFrame:
     """(value, prediction): mean prediction with the feature set to each of a grid between its 2nd and 98th percentile."""
-    lo, hi = sample.agg(F.percentile(feature, [0.02, 0.98])).first()[0]
+    lo, hi = quantiles(sample, F.col(feature), [0.02, 0.98]).first()[0]
     grid = [lo + (hi - lo) * i / max(points - 1, 1) for i in range(points)]
     own = sample.withColumn("__v", F.explode(F.array(*map(F.lit, grid)))).withColumn(feature, F.col("__v"))
     return predict(model, own).groupBy(F.col("__v").alias("value")).agg(F.avg("prediction").alias("prediction"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecube.functions import scalars
-from tidecube.operators.joins import attach, for_each, small, zero_fill
+from tidecube.operators.joins import attach, for_each, zero_fill
 
 #: A blend's constant; the support at which a cell counts half; the bounds of a support blend.
 ALPHA, HALF_SUPPORT, ALPHA_BOUNDS = 0.8, 5.0, (0.1, 0.9)
@@ -39,7 +39,7 @@ def alpha(mode: str, support: Column | None = None) -> Column:
 
 def with_support(df: DataFrame, support: DataFrame) -> DataFrame:
     """Positive rows of the species in the cell, 0 if none."""
-    return zero_fill(df, small(support.select("species", "h3", F.col("support_rows").cast("double").alias("support"))), ["species", "h3"])
+    return zero_fill(df, support.select("species", "h3", F.col("support_rows").cast("double").alias("support")), ["species", "h3"])
 
 
 def plausibility(logp: Column, lo: Column, hi: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidecube.functions import dates
 from tidecube.functions.scalars import above_or_null
-from tidecube.operators.joins import small
 
 
 def with_iso_week(df: DataFrame, date: str = "date") -> DataFrame:
@@ -44,7 +43,7 @@ def gear_risk(pred: DataFrame, effort: DataFrame, pairs: DataFrame, use: str = "
     effort: h3, date, gear_type, fishing_hours, vessel_count. Risk is use plus ln(1 + hours * vessels).
     """
     activity = F.col("fishing_hours") * F.col("vessel_count")
-    met = pred.join(small(pairs), "species").join(effort, ["h3", "date", "gear_type"]).withColumn("activity", activity).withColumn("risk", F.col(use) + F.log1p(activity))
+    met = pred.join(pairs, "species").join(effort, ["h3", "date", "gear_type"]).withColumn("activity", activity).withColumn("risk", F.col(use) + F.log1p(activity))
     return with_iso_week(met).groupBy("h3", "iso_year", "iso_week", "species", "gear_type").agg(
         F.count("*").alias("n_days"), F.avg(use).alias("use_mean"), F.sum("activity").alias("activity"), F.coalesce(F.avg(F.when(F.col(use) > 0, F.col("risk"))), F.lit(0.0)).alias("risk_mean")
     )

@@ -327,9 +327,8 @@ def _(t):
 
 @query("W6_group_mean", "env", f"SELECT h3, date, {R('avg(sst) OVER (PARTITION BY h3)', 'sst_mean')} FROM env", days="date")
 def _(t):
-    from tidecube.operators.joins import small
 
-    return t.env.select("h3", "date").join(small(t.env.groupBy("h3").agg(F.avg("sst").alias("sst_mean"))), "h3")
+    return t.env.select("h3", "date").join(t.env.groupBy("h3").agg(F.avg("sst").alias("sst_mean")), "h3")
 
 
 @query("W9_row_differences", oracle=f"WITH {_RASTER} SELECT lat_idx, lon_idx, {R('lead(value) OVER (PARTITION BY lat_idx ORDER BY lon_idx) - lag(value) OVER (PARTITION BY lat_idx ORDER BY lon_idx)', 'difference')} FROM v")

@@ -76,7 +76,7 @@ def pairs(t):
 
 @query("J11_three_way", "pred daily_effort", f"SELECT p.h3, p.date, p.species, e.gear_type, e.flag, {R('fishing_hours', 'fishing_hours')}, vessel_count FROM pred p JOIN {_PAIRS} ON p.species = g.species JOIN daily_effort e ON p.h3 = e.h3 AND p.date = e.date AND g.gear_type = e.gear_type", days="date")
 def _(t):
-    met = t.pred.join(joins.small(pairs(t)), "species").join(t.daily_effort, ["h3", "date", "gear_type"])
+    met = t.pred.join(pairs(t), "species").join(t.daily_effort, ["h3", "date", "gear_type"])
     return met.select("h3", "date", "species", "gear_type", "flag", "fishing_hours", "vessel_count")
 
 
@@ -97,7 +97,7 @@ def _(t):
 @query("J14_semi", "pred", "SELECT h3, date, species FROM pred WHERE h3 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)", days="date")
 def _(t):
     rich = t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("h3"))
-    return t.pred.join(joins.small(rich), "h3", "left_semi").select("h3", "date", "species")
+    return t.pred.join(rich, "h3", "left_semi").select("h3", "date", "species")
 
 
 @query("J20_nearest_date", "env", "WITH d AS (SELECT DISTINCT date FROM env), s AS (SELECT date AS source_date FROM d WHERE (date - DATE '1995-01-03') % 8 = 0 AND date > DATE '1995-03-01'), r AS (SELECT date, source_date, row_number() OVER (PARTITION BY date ORDER BY abs(source_date - date), source_date) AS k FROM d CROSS JOIN s) SELECT date, source_date, CAST(source_date - date AS BIGINT) AS day_offset FROM r WHERE k = 1", days="date source_date")
@@ -112,7 +112,7 @@ _EDGES = "e AS (SELECT a.h3, b.h3 AS neighbor FROM cells a JOIN cells b ON (b.q
 
 @query("J21_neighbor_join", "env cells", f"WITH {_EDGES} SELECT v.h3, v.date, e.neighbor, {R('v.sst - n.sst', 'difference')} FROM env v JOIN e ON v.h3 = e.h3 JOIN env n ON n.h3 = e.neighbor AND n.date = v.date", days="date")
 def _(t):
-    near = t.env.join(joins.small(grid.lattice_edges(t.cells).select("h3", "neighbor")), "h3")
+    near = t.env.join(grid.lattice_edges(t.cells).select("h3", "neighbor"), "h3")
     other = t.env.select(F.col("h3").alias("neighbor"), "date", F.col("sst").alias("other"))
     return near.join(other, ["neighbor", "date"]).select("h3", "date", "neighbor", (F.col("sst") - F.col("other")).alias("difference"))
 

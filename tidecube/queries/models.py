@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from tidecube.operators import aggregates as ag
 from tidecube.operators import grid, sampling
 from tidecube.plans import features, models
+from tidecube.queries.joins import _EDGES
 from tidecube.queries.registry import N, R, query
+from tidecube.schema import FEATURES
 
 _X = ["sst", "chl", "ssh", "wind_u10", "wind_v10"]
 _SMALL = models.Size(trees=10, depth=6, leaf=5, rounds=8)
@@ -148,12 +150,20 @@ def _(t):
     return models.cross_validate(own, _X, "target", 3, lambda d: models.forest(d, _X, "target", models.Size(trees=4, depth=4)))
 
 
-@query("feature_grid", "env cells", f"SELECT env.h3, date, {R('sst', 'sst')}, {R('sqrt(wind_u10 * wind_u10 + wind_v10 * wind_v10)', 'wind_speed')}, {R('sin(radians(r - 57))', 'lat_sin')}, {R('q * 10', 'depth_m')} FROM env LEFT JOIN cells ON env.h3 = cells.h3", days="date")
+_DAYS = "SELECT h3, date, sst, 0.7310585786e0 * ssh AS ssh, sqrt(wind_u10 * wind_u10 + wind_v10 * wind_v10) AS wind_speed, ln(1 + chl) AS chl_log, dayofyear(date) - CASE WHEN dayofyear(make_date(year(date), 12, 31)) = 366 AND dayofyear(date) > 59 THEN 1 ELSE 0 END AS doy FROM env"
+_GRAD = "sqrt(avg(power(v.{c} - n.{c}, 2))) AS {c}_grad"
+_ALL = [*("sst", "ssh", "wind_speed", "chl_log"), *(f"{c} - avg({c}) OVER w AS {c}_anom" for c in ("sst", "ssh", "wind_speed", "chl_log")), "sin(2 * pi() * (doy - 1) / 365) AS doy_sin", "cos(2 * pi() * (doy - 1) / 365) AS doy_cos"]
+
+
+@query("feature_grid", "env cells", f"""WITH {_EDGES}, d AS ({_DAYS}), a AS (SELECT h3, date, {', '.join(_ALL)} FROM d WINDOW w AS (PARTITION BY h3, doy)),
+    g AS (SELECT v.h3, v.date, {', '.join(_GRAD.format(c=c) for c in ('sst', 'ssh', 'chl_log'))} FROM d v JOIN e ON v.h3 = e.h3 JOIN d n ON n.h3 = e.neighbor AND n.date = v.date GROUP BY 1, 2),
+    s AS (SELECT h3 AS cell, q * 10 AS depth_m, 0 AS slope, 1 AS dist_coast_m, sin(radians(r - 57)) AS lat_sin, cos(radians(r - 57)) AS lat_cos, sin(radians(q - 64)) AS lon_sin, cos(radians(q - 64)) AS lon_cos FROM cells)
+    SELECT a.h3, a.date, {', '.join(R(c, c) for c in FEATURES)} FROM a LEFT JOIN g ON a.h3 = g.h3 AND a.date = g.date LEFT JOIN s ON a.h3 = s.cell""", days="date")
 def _(t):
-    """The feature stage: derived columns, anomalies, gradients and static features."""
+    """The feature stage with all its columns: derived ones, anomalies, gradients and static features."""
     static = t.cells.select("h3", (F.col("q") * 10).alias("depth_m"), F.lit(0.0).alias("slope"), F.lit(1.0).alias("dist_coast_m"), (F.col("r") - 57).alias("lat"), (F.col("q") - 64).alias("lon"))
-    env = features.environment(t.env, grid.lattice_edges(t.cells))
-    return features.feature_grid(env, static).select("h3", "date", "sst", "wind_speed", "lat_sin", F.col("depth_m").cast("double"))
+    env = features.environment(t.env.withColumn("ssh", F.lit(0.7310585786) * F.col("ssh")), grid.lattice_edges(t.cells))  # scaled, so that no mean lies on the edge of rounding
+    return features.feature_grid(env, static).select("h3", "date", *(F.col(c).cast("double") for c in FEATURES))
 
 
 @query("species_training", "presence", "WITH k AS (SELECT DISTINCT c.h3, c.date, s.species FROM presence c JOIN presence s ON c.date = s.date) SELECT k.h3, k.date, k.species, coalesce(presence_count, 0) AS presence_count, CAST(coalesce(presence_count * individual_count, 0) AS DOUBLE) AS residence_index FROM k LEFT JOIN presence p ON k.h3 = p.h3 AND k.date = p.date AND k.species = p.species", days="date")

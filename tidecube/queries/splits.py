@@ -76,13 +76,21 @@ def _(t):
     return _blocks(t).where("is_test").select("block").distinct()
 
 
-@query("W7_running_total", oracle=f"SELECT o_orderkey, {R('coalesce(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000', 'before')} FROM orders")
+@query("running_total", oracle=f"SELECT o_orderkey, {R('coalesce(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000', 'before')} FROM orders")
 def _(t):
     from tidecube.operators.ordering import running_total
 
     return running_total(t.orders.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), "o_orderkey", "cents", "c").select("o_orderkey", (F.col("c") / 100000).alias("before"))
 
 
+@query("W7_group_weights", oracle=f"SELECT l_orderkey, l_partkey, {N('l_linenumber', 'l_linenumber')}, {R('l_quantity / sum(l_quantity) OVER (PARTITION BY l_suppkey, l_orderkey)', 'weight')} FROM lineitem")
+def _(t):
+    from tidecube.operators import spatial
+
+    own = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", F.struct("l_suppkey", "l_orderkey").alias("cell"))
+    return spatial.weights(own, "cell", "l_quantity").select("l_orderkey", "l_partkey", "l_linenumber", "weight")
+
+
 @query("M8_buffered_hold_out", "env cells", f"WITH {_EDGES}, {_GROUPS}, x AS (SELECT h3, date, h3 // 5 AS block, before < total * 0.25e0 AS is_test FROM env JOIN k ON k.block = h3 // 5), n AS (SELECT DISTINCT e.neighbor AS h3 FROM e JOIN x ON e.h3 = x.h3 WHERE is_test) SELECT x.h3, date, CASE WHEN is_test THEN 'test' WHEN n.h3 IS NOT NULL THEN 'excluded' ELSE 'train' END AS part FROM x LEFT JOIN n ON x.h3 = n.h3", days="date")
 def _(t):
     return sampling.buffered_split(_blocks(t), grid.disk(grid.lattice_edges(t.cells), t.cells, 1)).select("h3", "date", "part")

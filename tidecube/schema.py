@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEY = ("h3", "date")
-#: Features that change by day, and those of a cell alone.
-DYNAMIC = ("sst", "chl", "ssh", "wind_u10", "wind_v10", "wind_speed", "chl_log", "sst_anom", "chl_anom", "ssh_anom", "wind_speed_anom", "doy_sin", "doy_cos")
+# The columns that models are fitted to, in their order.
+DYNAMIC = ("sst", "ssh", "wind_speed", "chl_log", "sst_anom", "ssh_anom", "wind_speed_anom", "chl_log_anom", "sst_grad", "ssh_grad", "chl_log_grad", "doy_sin", "doy_cos")
 STATIC = ("depth_m", "slope", "dist_coast_m", "lat_sin", "lat_cos", "lon_sin", "lon_cos")
+FEATURES = DYNAMIC + STATIC
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which executors share; under a temporary one where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir, which executors share. Where that is unset: a temporary one on one machine, an error on a cluster."""
     if not (top := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="tidecube-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tidecube-{label}-{uuid.uuid4().hex}"
