@@ -113,6 +113,65 @@ def test_seeds_meet_every_stretch_with_two_substitutions():
         assert any(all(p + o not in wrong for o in m) for m in decontaminate.MASKS for p in range(13 - m[-1]))
 
 
+def test_short_masks_meet_every_allowed_substitution():
+    for n in range(decontaminate.LEAST_TOKENS, decontaminate.MIN_TOKENS):
+        allowed = int(n - n * 0.8 + 1e-9)
+        for wrong in itertools.combinations(range(n), allowed):
+            assert any(not set(m) & set(wrong) for m in decontaminate.short_masks(n)), (n, wrong)
+
+
+def brute_overlaps(docs, items):
+    """(doc, item) whose tokens agree in 80 % of some 13 places in a row, or of all places of a shorter item of 5 or more."""
+    tok = lambda s: re.findall(r"\w+", (s or "").lower())
+    out = set()
+    for d, text in docs:
+        a = np.array(tok(text), object)
+        for i, item in items:
+            b = np.array(tok(item), object)
+            n = min(13, len(b))
+            if n < 5:
+                continue
+            for shift in range(-len(b), len(a)):
+                lo, hi = max(0, shift), min(len(a), shift + len(b))
+                if hi - lo < n:
+                    continue
+                same = np.cumsum([0, *(a[lo:hi] == b[lo - shift : hi - shift])])
+                if (same[n:] - same[:-n]).max() >= 0.8 * n - 1e-9:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_overlaps_are_those_of_brute_force(spark):
+    g = random.Random(8)
+    word = lambda: f"v{g.randrange(60)}"  # noqa: E731  few words: chance overlaps too
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 5, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 20, 40])]
+    docs = []
+    for k in range(150):
+        body = [word() for _ in range(g.randrange(60))]
+        own = items[g.randrange(len(items))][1].split()
+        for p in g.sample(range(len(own)), g.choice([0, 1, 1, 2, 2, 3]) if len(own) > 3 else 0):
+            own[p] = f"x{k}"
+        at = g.randrange(len(body) + 1)
+        docs.append((k, " ".join(body[:at] + own + body[at:])))
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_overlaps(docs, items)
+
+
+def test_overlaps_on_the_tables_are_those_of_brute_force(spark, docs, small):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 3_000]
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op1_decontamination"](spark, small).collect()}
+    assert {x for x in got if x[0] in dict(rows)} == brute_overlaps(rows, items)
+
+
+def test_equal_items_are_one(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    bench = spark.createDataFrame([(k, item) for k in (9, 7, 8)], "item_id long, text string")
+    (r,) = decontaminate.overlaps(spark.createDataFrame([(1, item)], "doc_id long, text string"), bench).collect()
+    assert (r.item_id, r.n_items) == (7, 3)
+
+
 def test_overlaps(spark):
     item = " ".join(f"i{k}" for k in range(20))
     changed = item.replace("i5 ", "XX ").replace("i12 ", "YY ")

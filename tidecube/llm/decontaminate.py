@@ -2,7 +2,8 @@
 
 A seed is a hash of the tokens at the positions that a fixed mask reads; the positions that it ignores may differ. One
 mask of weight 5 over 8 tokens already meets every stretch of 13 tokens that has at most two substitutions, wherever they
-are (tests check all of them). Seeds of the benchmark and of the documents are joined, and every hit is verified: the
+are (tests check all of them). Items of 5 to 12 tokens have masks of their own, over the whole item, which leave out every
+place that may differ in turn; they are read only if the benchmark has items of that length. Seeds of the benchmark and of the documents are joined, and every hit is verified: the
 token sequences around it are laid over each other and some stretch must agree in enough places.
 
 Only seeds that a bitmap of the benchmark's seeds lets through leave the scan of the documents, with the tokens around
@@ -12,8 +13,10 @@ seeds pass and the exact join still decides.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecube.llm.common import materialize, maybe_broadcast
+from tidecube.llm.common import lean_arrow, materialize, maybe_broadcast
 
 #: Token positions that each mask reads.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
 #: A verified stretch has at least so many tokens (a shorter text: all of it) ...
 MIN_TOKENS = 13
+#: Items with fewer tokens match nothing.
+LEAST_TOKENS = 5
 #: ... and this share of them agrees.
 MIN_MATCH = 0.8
 #: Tokens kept on either side of a hit.
@@ -38,6 +43,25 @@ _TOKEN = re.compile(r"\w+")
 _CHUNK = 400_000
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over the n places of a short item: whichever places differ, as many as MIN_MATCH allows, one mask reads none of them.
+
+    The places are dealt to two parts more than may differ; each mask leaves out as many parts as places may differ.
+    """
+    wrong = n - math.ceil(MIN_MATCH * n - 1e-9)
+    return [tuple(o for o in range(n) if o % (wrong + 2) not in left_out) for left_out in itertools.combinations(range(wrong + 2), wrong)]
+
+
+#: (mask, the length of the items that it is for: None for those of MIN_TOKENS and more)
+Mask = tuple[tuple[int, ...], int | None]
+
+
+def masks_for(lengths: Iterable[int]) -> list[Mask]:
+    """The masks that items of these lengths need."""
+    own = [(m, n) for n in sorted(set(lengths)) if LEAST_TOKENS <= n < MIN_TOKENS for m in short_masks(n)]
+    return [(m, None) for m in MASKS if any(n >= MIN_TOKENS for n in lengths)] + own
+
+
 class _Hashes(dict):
     """64-bit hashes of tokens; forgets them all when it has grown large."""
 
@@ -77,23 +101,20 @@ def _chunks(texts, hashes: _Hashes) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, rows
 
 
-def _item_seeds(items: DataFrame) -> DataFrame:
+def _item_seeds(items: DataFrame, masks: list[Mask]) -> DataFrame:
+    """(item, item_pos, h) of (item, item_tokens): of short items the seeds of their own masks at their start only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            for first, rows in _chunks(batch.column(1), hashes):
-                which, pos, h = [], [], []
-                for i, t in enumerate(rows, first):
-                    for mask in MASKS:
-                        s = seeds(t, mask)
-                        which.append(np.full(len(s), i))
-                        pos.append(np.arange(len(s)))
-                        h.append(s)
-                ids = batch.column(0).take(pa.array(np.concatenate(which), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(pos), pa.int32()), pa.array(np.concatenate(h).view(np.int64))], names=["item", "item_pos", "h"])
+            for i in range(batch.num_rows):
+                t = batch.column(1)[i].values.to_numpy().view(np.uint64)
+                found = [seeds(t, m) if n is None else seeds(t, m)[:1] for m, n in masks if n == (None if len(t) >= MIN_TOKENS else len(t))]
+                pos = np.concatenate([np.arange(len(s)) for s in found] or [np.zeros(0, int)])
+                h = np.concatenate(found or [np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(pos), i), pa.int64())), pa.array(pos, pa.int32()), pa.array(h.view(np.int64))], names=["item", "item_pos", "h"])
 
-    schema = T.StructType([items.schema[0], T.StructField("item_pos", T.IntegerType()), T.StructField("h", T.LongType())])
-    return items.mapInArrow(run, schema)
+    schema = T.StructType([items.schema["item"], T.StructField("item_pos", T.IntegerType()), T.StructField("h", T.LongType())])
+    return items.select("item", "item_tokens").mapInArrow(run, schema)
 
 
 def _bitmap(found: DataFrame) -> np.ndarray:
@@ -117,31 +138,33 @@ def _passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return at[test(h[at] >> (np.uint64(64) - log2)) > 0]
 
 
-def _segments(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _segments(docs: DataFrame, bits: np.ndarray, masks: list[Mask]) -> DataFrame:
     """A row for each stretch of a document around its hits: id, start, tokens, hit_pos (in the document), hit_h."""
+    kinds = sorted({m for m, _ in masks})
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_arrow()
         hashes, table = _Hashes(), shared.value
         for batch in batches:
             for first, rows in _chunks(batch.column(1), hashes):
                 out: list[tuple] = []
                 flat, ends = np.concatenate(rows), np.cumsum([len(t) for t in rows])
                 pos, hit = [], []
-                for mask in MASKS:
+                for mask in kinds:
                     s = seeds(flat, mask)
                     p = _passing(s, table)
                     row = np.searchsorted(ends, p, "right")
                     p = p[p + mask[-1] < ends[row]]  # the mask stays within one document
                     pos.append(p)
                     hit.append(s[p])
-                pos, hit = np.concatenate(pos), np.concatenate(hit)
+                pos, hit = np.concatenate([*pos, np.zeros(0, np.int64)]), np.concatenate([*hit, np.zeros(0, np.uint64)])
                 order = np.argsort(pos, kind="stable")
                 pos, hit = pos[order], hit[order]
                 row = np.searchsorted(ends, pos, "right")
                 begin = np.where(row > 0, ends[row - 1], 0) if len(pos) else pos
                 lo = np.maximum(begin, pos - CONTEXT)
-                hi = np.minimum(ends[row], pos + 9 + CONTEXT)
+                hi = np.minimum(ends[row], pos + 13 + CONTEXT)
                 k = 0
                 while k < len(pos):
                     j = k
@@ -198,31 +221,37 @@ def _verified(candidates: DataFrame, id_type: T.StructField, item_type: T.Struct
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and benchmark item that share a verified stretch.
-
-    Columns: id, item, doc_start and item_start (token positions), n_tokens and n_matched (of the stretch), item_tokens
-    (of the whole item). The stretch reaches from the first to the last MIN_TOKENS places that agree to MIN_MATCH; of
-    several alignments the one with most agreeing tokens counts, then the earliest. Repeated rows give one row an id and
-    item. Null and empty texts, and items with fewer tokens than a mask spans, overlap with nothing. Null document ids are
-    kept as an id like any other; benchmark items need an id. Empty tables give an empty result; other columns are not read.
+    """A row for each document and different benchmark text that share a verified stretch.
+
+    Columns: id, item (the least id that has the text), doc_start and item_start (token positions), n_tokens and n_matched
+    (of the stretch), item_tokens (of the whole item), n_items (ids that have the text, by its tokens). The stretch reaches
+    from the first to the last MIN_TOKENS places that agree to MIN_MATCH (of a shorter item: all its places); of several
+    alignments the one with most agreeing tokens counts, then the earliest. Repeated rows give one row an id and item.
+    Null and empty texts, and items of under LEAST_TOKENS tokens, overlap with nothing. Null document ids are kept as an id
+    like any other; benchmark items need an id. Empty tables give an empty result; other columns are not read.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null").dropDuplicates()
-    found = materialize(_item_seeds(items), "seeds")
-    segments = materialize(_segments(d, _bitmap(found)).withColumn("seg", F.monotonically_increasing_id()), "segments")
-    hits = segments.select("seg", F.explode(F.arrays_zip("hit_pos", "hit_h")).alias("x")).select("seg", "x.hit_pos", F.col("x.hit_h").alias("h"))
-    met = hits.join(maybe_broadcast(found), "h").groupBy("seg", "item", (F.col("hit_pos") - F.col("item_pos")).alias("diag")).agg(F.count("*").alias("n_hits"))
 
     def item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [tokens(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["item", "item_tokens"])
 
-    whole = items.mapInArrow(item_tokens, T.StructType([items.schema[0], T.StructField("item_tokens", T.ArrayType(T.LongType()))]))
-    pairs = met.join(segments.select("seg", "id", "start", "tokens"), "seg").join(maybe_broadcast(materialize(whole, "items")), "item").select("id", "item", "start", "diag", "tokens", "item_tokens")
+    read = items.mapInArrow(item_tokens, T.StructType([items.schema[0], T.StructField("item_tokens", T.ArrayType(T.LongType()))]))
+    whole = materialize(read.where(F.size("item_tokens") >= LEAST_TOKENS).groupBy("item_tokens").agg(F.min("item").alias("item"), F.count_distinct("item").alias("n_items")), "items")
+    lengths = [r[0] for r in whole.select(F.least(F.size("item_tokens"), F.lit(MIN_TOKENS))).distinct().collect()]  # at most one row a length up to MIN_TOKENS
+    masks = masks_for(lengths)
+    found = materialize(_item_seeds(whole, masks), "seeds")
+    segments = materialize(_segments(d, _bitmap(found), masks).withColumn("seg", F.monotonically_increasing_id()), "segments")
+    hits = segments.select("seg", F.explode(F.arrays_zip("hit_pos", "hit_h")).alias("x")).select("seg", "x.hit_pos", F.col("x.hit_h").alias("h"))
+    met = hits.join(maybe_broadcast(found), "h").groupBy("seg", "item", (F.col("hit_pos") - F.col("item_pos")).alias("diag")).agg(F.count("*").alias("n_hits"))
+    met = maybe_broadcast(materialize(met, "met"))  # few of the segments: those are not shuffled for it
+    pairs = segments.select("seg", "id", "start", "tokens").join(met, "seg").join(maybe_broadcast(whole.select("item", "item_tokens")), "item").select("id", "item", "start", "diag", "tokens", "item_tokens")
     checked = _verified(pairs, d.schema[0], items.schema[0])
     best = F.max_by(F.struct("doc_start", "item_start", "n_tokens", "n_matched", "item_tokens"), F.struct("n_matched", -F.col("doc_start"), -F.col("item_start"), "n_tokens"))
-    return checked.groupBy("id", "item").agg(best.alias("b")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*")
+    per = checked.groupBy("id", "item").agg(best.alias("b")).join(maybe_broadcast(whole.select("item", "n_items")), "item")
+    return per.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*", "n_items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
