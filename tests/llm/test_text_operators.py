@@ -246,6 +246,29 @@ def test_quality_on_held_out_labels(spark, docs):
     assert (h.predicted == h.quality).mean() > 0.95
 
 
+def brute_statistics(text):
+    t = text or ""
+    words, lines, n = WORD.findall(t), t.split("\n"), max(1, len(t))
+    share = lambda chars: sum(c in chars for c in t) / n
+    return {
+        "chars": len(t), "words": len(words), "word_length": len(t) / len(words) if words else 0, "distinct_words": len(set(words)) / len(words) if words else 0,
+        "distinct_lines": len(set(lines)) / len(lines) if t else 0, "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍÁÚ"), "digits": share("0123456789"), "symbols": share("#$%&*+=<>@\\^_~{}[]/"),
+        "bars": share("|"), "stops": share(".,;:"), "marks": share("!?"), "lines": len(lines) / n if t else 0,
+    }
+
+
+def test_quality_scores_are_those_of_the_rules(spark, docs, odd, small):
+    labels = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet"), labels)
+    assert model.rules
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        for r in quality.score(df, model).collect():
+            stats = brute_statistics(r.text)
+            assert all(abs(r["__stats"][k] - v) < 1e-9 for k, v in stats.items())
+            z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all(stats[k] <= t if op == "<=" else stats[k] > t for k, op, t in rule))
+            assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_rules_are_paths_of_the_tree():
     text = "Tree\n  If (feature 0 <= 2.0)\n   If (feature 1 <= 5.0)\n    Predict: 1.0\n   Else (feature 1 > 5.0)\n    Predict: 0.0\n  Else (feature 0 > 2.0)\n   Predict: 0.0\n"
     got = set(quality.tree_rules(text, ("a", "b")))
@@ -279,6 +302,36 @@ def test_url_parts_and_fixed_rules(spark):
     assert got == {i: brute(u) for i, u in enumerate(urls)}
 
 
+def brute_verdict(u, rules):
+    """(host, path, rule, verdict) by the fixed rules alone."""
+    if u is None or "://" not in u:
+        return "", "", None, "allow"
+    rest = u.split("://", 1)[1]
+    h = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(h) :])[0]
+    h = h.translate(LOWER)
+    fits = [(len(rh + rp), rh + rp, v) for v, rh, rp in rules if (h == rh or h.endswith("." + rh)) and path.startswith(rp)]
+    return (h, path, *(max(fits)[1:] if fits else (None, "allow")))
+
+
+def test_url_query_is_that_of_brute_force(spark, small):
+    from tidecube.llm.queries import URL_RULES
+
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    got = QUERIES["op5_url_rules"](spark, small).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        want = brute_verdict(pages[r.page_id], URL_RULES)
+        assert (r.host, r.path, r.rule) == want[:3] and r.verdict == ("block" if r.rule is None and r.mined else want[3])
+
+
+def test_tokens_that_come_together_are_one_item(spark):
+    long = "/".join(f"p{chr(97 + i)}" for i in range(24))  # 2^24 combinations, were each token an item
+    rows = [(f"http://a.net/{long}/{'bad' if i % 2 else 'ok'}/x", bool(i % 2)) for i in range(60)]
+    (r,) = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean")).collect()
+    assert r.tokens == ["path bad"] and r.confidence == 1
+
+
 def test_mined_rules_block_combinations(spark):
     urls = [(f"http://h{i % 7}.net/{'win' if i % 2 else 'a'}/{'bet' if i % 3 else 'b'}/{i}", bool(i % 2 and i % 3)) for i in range(300)]
     labelled = spark.createDataFrame([*urls, ("http://x.net/", None)], "url string, block boolean")

@@ -53,7 +53,7 @@ def key_store(spark: SparkSession, path: str, schema: T.StructType, id_col: str,
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(re.sub(r"(.)$", r"[\1]", path))  # as a pattern, so that it may be a file or a folder
+    stream = reader.parquet(re.sub(r"(.)/*$", r"[\1]", path, count=1))  # as a pattern, so that it may be a file or a folder, with or without a slash
     state = _rows(stream, id_col, text_col, digest).groupBy("digest").agg(F.min(_first()).alias("first"), F.count("*").alias("n"))
 
     def write(batch: DataFrame, number: int) -> None:

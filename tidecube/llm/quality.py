@@ -25,19 +25,20 @@ TREES, DEPTH, LASSO = 12, 3, 0.002
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text by name; all are 0 for null and empty texts."""
+    """Statistics of a whole text by name; all are 0 for null and empty texts, those of words for texts without one too."""
     t = F.coalesce(text, F.lit(""))
-    words = F.split(F.trim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", " ")), " ")
+    plain = F.trim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", " "))
+    words = F.split(F.when(plain != "", plain), " ")
     lines = F.split(t, "\n")
     n = F.length(t)
     share = lambda c: F.coalesce(F.try_divide(c, n), F.lit(0.0)).cast("double")
     without = lambda chars: n - F.length(F.translate(t, chars, ""))
     return {
-        "chars": F.least(n, F.lit(1_000_000)).cast("double"),
-        "words": F.size(words).cast("double"),
+        "chars": n.cast("double"),
+        "words": F.coalesce(F.size(words), F.lit(0)).cast("double"),
         "word_length": F.coalesce(F.try_divide(n, F.size(words)), F.lit(0.0)).cast("double"),
         "distinct_words": F.coalesce(F.try_divide(F.size(F.array_distinct(words)), F.size(words)), F.lit(0.0)).cast("double"),
-        "distinct_lines": F.coalesce(F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)), F.lit(0.0)).cast("double"),
+        "distinct_lines": F.when(n > 0, F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(0.0).cast("double"),
         "upper": share(without("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÓÍÁÚ")),
         "digits": share(without("0123456789")),
         "symbols": share(without("#$%&*+=<>@\\^_~{}[]/")),
@@ -107,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit the ensemble to the texts of ``docs`` whose ids have label 0 or 1; other labels are left out.
 
     Of the labels the at most ``rows`` with the least hashes of their ids are used. Without labels, or with one label
-    only, the ensemble has no rules and its score is that label's share, (n1 + 1) / (n + 2).
+    only, the ensemble has no rules and its score is that label's share, (n1 + 1) / (n + 2). Null ids are left out; an id that
+    comes more than once, in labels or texts, counts as often as its pairs.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")  # at most ``rows`` labels
@@ -133,5 +135,5 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataFrame:
-    """``docs`` with __stats and score (0 to 1). Null texts are scored as empty ones."""
+    """``docs`` with __stats and score (0 to 1), which replace columns of those names. Null texts are scored as empty ones."""
     return with_statistics(docs, text_col).withColumn("score", model.score(F.col("__stats")))
