@@ -372,6 +372,32 @@ def test_language_on_held_out_texts(spark, small, docs):
     assert (h.lang_pred == h.lang).mean() > 0.98
 
 
+def test_language_query_is_that_of_brute_force(spark):
+    g = random.Random(6)
+    scripts = {"aa": "abcde ", "bb": "abxyz ", "gr": "αβγδε ", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 300)))}
+    text = lambda k, n: "".join(g.choice(scripts[k]) for _ in range(n))
+    rows = [(i, text(k, g.randrange(20, 200)) + g.choice(["", "!", "?? 12"]), k) for i, k in enumerate([*scripts] * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = {k: [language.clean(t) for _, t, x in rows if x == k] for k in scripts}
+    model = language.fit(df)
+    assert model.languages == sorted(scripts) and model.sizes == [sum(len(t) + 1 for t in sample[k]) for k in sorted(scripts)]
+    for r in language.identify(df, model).collect():
+        own = re.sub(r"[^\W\d_]", lambda m: m[0].lower(), re.sub(r"[\W\d_]+", " ", rows[r.doc_id][1])).lstrip(" ")
+        bits = {k: brute_phrases("|".join(sample[k]), own) * np.log2(n + 1) / len(own) for k, n in zip(model.languages, model.sizes)}
+        best = min(bits, key=lambda k: (bits[k], k))
+        assert r.lang_pred == best and np.isclose(r.entropy, bits[best])
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language.identify(df, model).collect() if rows[r.doc_id][2] in ("gr", "zh"))
+
+
+def test_samples_are_bounded_and_whole(spark):
+    long = "".join(chr(97 + i % 26) for i in range(50_000)) + " the end"
+    rows = [(None, f"text {i % 3}", "en") for i in range(500)] + [(7, long, "fr")]
+    got = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()
+    assert sorted(r.text for r in got if r.lang == "en") == ["text 0", "text 1", "text 2"]
+    (fr,) = [r.text for r in got if r.lang == "fr"]
+    assert len(fr) < 1_100 and fr.endswith("the end") and fr.startswith(long[:100])
+
+
 def test_language_of_odd_rows(spark, odd, docs):
     model = language.fit(docs)
     got = language.identify(odd, model).collect()
@@ -391,6 +417,41 @@ def test_shards(spark, docs, odd):
     assert sharding.shard_documents(odd).count() == odd.count() and sharding.shard_documents(odd.limit(0)).count() == 0
 
 
+def test_shard_query_is_that_of_a_plain_ring(spark, docs, small):
+    rows = [(r.doc_id, r.h) for r in docs.select("doc_id", F.expr("xxhash64(cast(doc_id AS string)) & 4294967295").alias("h")).collect()]
+    points = sorted((xxhash.xxh32_intdigest(f"{s}/{v}"), s) for s in range(40) for v in range(sharding.VNODES))
+    room = {s: len(rows) // 40 + (s < len(rows) % 40) for s in range(40)}
+    arcs = {}
+    for i, h in rows:
+        arcs.setdefault(next((k for k, (p, _) in enumerate(points) if p >= h), 0), []).append(i)
+    want, left = {s: 0 for s in room}, []
+    at_home = {}
+    for arc in sorted(arcs):
+        s = points[arc][1]
+        stay = min(len(arcs[arc]), room[s] - want[s])
+        want[s] += stay
+        at_home[arc] = stay
+        left.append((arc, len(arcs[arc]) - stay))
+    goes = {}
+    for arc, n in left:
+        at = arc
+        while n:
+            at = (at + 1) % len(points)
+            s = points[at][1]
+            took = min(n, room[s] - want[s])
+            want[s] += took
+            n -= took
+            if took:
+                goes.setdefault(arc, []).append((s, took))
+    assert want == room
+    shard = {r.doc_id: r.shard for r in QUERIES["op7_sharding"](spark, small).collect()}
+    for arc, ids in arcs.items():  # of each arc as many rows in each shard as the plain ring puts there
+        expected = {points[arc][1]: at_home[arc]} if at_home[arc] else {}
+        for s, n in goes.get(arc, ()):
+            expected[s] = expected.get(s, 0) + n
+        assert pd.Series([shard[i] for i in ids]).value_counts().to_dict() == expected
+
+
 def test_few_rows_move_to_one_more_shard(spark, docs):
     a, b = (sharding.shard_documents(docs, shards=k).select("doc_id", F.col("shard").alias(f"s{k}")) for k in (8, 9))
     moved = a.join(b, "doc_id").where("s8 <> s9").count()
@@ -443,6 +504,29 @@ def test_gradient_of_the_network():
         assert np.isclose(slope, grad[k][at], rtol=0.02, atol=1e-5), k
 
 
+def test_scores_are_those_of_dense_attention():
+    g = np.random.default_rng(3)
+    m = {k: v + 0.2 * g.standard_normal(v.shape).astype(np.float32) for k, v in attention_lm.initial(np.arange(1024.0)).items()}
+    lm = attention_lm.LanguageModel(m, np.zeros(1), np.zeros(attention_lm.END + 1), "").packed()
+    own = g.integers(0, 1000, 90).astype(np.uint16)
+    got = attention_lm._by_word(lm, own, np.ones(90, np.int64), np.array([50, 40]))  # two texts of one-subword words
+    for lo, hi in ((0, 50), (50, 90)):
+        text = own[lo:hi].tolist()
+        for t in range(len(text)):
+            begin = t // attention_lm.STRIDE * attention_lm.STRIDE - attention_lm.CONTEXT  # the window's first place
+            seen = [p for p in range(begin, t + 1) if begin >= 0 or p >= 0]
+            token = lambda p: attention_lm.BOS if p == 0 else text[p - 1]  # noqa: E731  the input at a place is the token before it
+            h = {p: m["e"][token(p)].astype(float) + m["p"][p - begin] for p in seen}
+            q = h[t] @ m["q"] * attention_lm.WIDTH**-0.5
+            s = np.exp([min(q @ (h[p] @ m["k"]), 30.0) for p in seen])
+            out = h[t] + sum(w * (h[p] @ m["v"]) for w, p in zip(s / s.sum(), seen)) @ m["o"]
+            z = out @ m["w"] + m["g"][token(t)] + m["b"]
+            high, low = divmod(text[t], attention_lm.DIGITS)
+            a, b = z[: attention_lm.DIGITS], z[attention_lm.DIGITS :] + m["t"][high]
+            want = a[high] - np.log(np.exp(a).sum()) + b[low] - np.log(np.exp(b).sum())
+            assert abs(got[lo + t] - want) < 1e-3, (lo, t)
+
+
 def test_probabilities_add_up():
     m = attention_lm.LanguageModel({k: v for k, v in attention_lm.initial(np.arange(1024.0)).items()}, np.zeros(1), np.zeros(1), "").packed()
     x = np.full((1, 32), attention_lm.BOS)
@@ -536,6 +620,20 @@ def test_control_strings_come_back(spark):
         assert [(t.role, t.text) for t in r.turns] == [("user", hard[r.tree] or ""), ("assistant\n<|im_end|>", hard[r.tree] or "")]
 
 
+def test_pipeline_of_odd_rows_and_none(spark, odd, small):
+    corpus = pytest.importorskip("corpus_pipeline")
+    from tidecube.llm.common import materialize
+
+    now, left = odd, {}
+    for name, stage in corpus.STAGES:
+        now = materialize(stage(spark, now, small), "test-odd")
+        left[name] = sorted((r.doc_id or 0 for r in now.collect()))
+    assert left["language"] == [0, 1, 1, 5] and left["near duplicates"] == [1, 5] == left["decontamination"]
+    assert set(left["mixing"]) <= {1, 5} and left["sharding"] == left["mixing"]
+    for _, stage in corpus.STAGES:
+        assert stage(spark, odd.limit(0), small).count() == 0
+
+
 def test_pipeline_stage_by_stage(spark, small, docs):
     corpus = pytest.importorskip("corpus_pipeline")
     from tidecube.llm.common import materialize

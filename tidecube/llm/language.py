@@ -152,7 +152,7 @@ def _letters() -> np.ndarray:
 
 
 class Codes:
-    """Maps texts to numbers of lower-cased letters (0: a letter that no sample has); runs of anything else are one space."""
+    """Maps texts to numbers of lower-cased letters (0: a letter that no sample has); runs of anything else are one space, and none at the start."""
 
     def __init__(self, alphabet: dict[str, int]):
         self.space = alphabet[" "]
