@@ -247,6 +247,17 @@ def _linked(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components: each a keeps its least b, to which its other b are linked instead.
+
+    An a has at most one b for each table (and pair of a crowded part), and the b are few: the least nodes of their buckets.
+    """
+    stars = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    least = F.col("bs")[0]
+    moved = F.transform(F.slice("bs", F.lit(2), F.size("bs")), lambda b: F.struct(b.alias("a"), least.alias("b")))
+    return stars.select(F.explode(F.concat(F.array(F.struct("a", least.alias("b"))), moved)).alias("e")).select("e.*").distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(key, component) of (key, text): the least key reachable over links; one row for each row.
 
@@ -254,7 +265,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(sketches(docs), "near-rows")
     nodes = materialize(rows.groupBy("node").agg(F.min("key").alias("least"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp")), "near-nodes")
-    edges = entries(nodes.where("size > 0")).groupBy("tab", "part", "pair").applyInArrow(_met, "a long, b long").distinct()
+    edges = entries(nodes.where("size > 0")).groupBy("tab", "part", "pair").applyInArrow(_met, "a long, b long")
+    edges = contracted(materialize(edges.distinct(), "near-edges"))
     groups = materialize(connected_components(edges, "near-groups"), "near-grouped")
     met = materialize(groups.join(nodes.select("node", "least", "size"), "node"), "near-met")
     blocks = met.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
