@@ -170,10 +170,28 @@ def _(t):
     return grid.disk(grid.lattice_edges(t.cells), t.cells, 1)
 
 
-@query("G7_distance_area", "cells", f"SELECT h3, {R('2 * 6371008.8e0 * asin(sqrt(power(sin(radians(1e0) / 2), 2) + cos(radians(r - 57)) * cos(radians(r - 56)) * power(sin(radians(2e0) / 2), 2))) / 1000', 'km')}, {R('power(6371.0088e0, 2) * radians(1e0) * (sin(radians(r - 56)) - sin(radians(r - 57)))', 'km2')} FROM cells")
+_E = "sqrt((2 - 1 / 298.257223563e0) / 298.257223563e0)"
+
+
+def _ordinate(lat: str) -> str:
+    """SQL of the ellipsoid's equal-area ordinate, in metres."""
+    s = f"sin(radians({lat}))"
+    return f"6378137e0 * (1 - {_E} * {_E}) / 2 * ({s} / (1 - {_E} * {_E} * {s} * {s}) + ln((1 + {_E} * {s}) / (1 - {_E} * {s})) / (2 * {_E}))"
+
+
+def _metres(rows: str, lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Relation of h3 and m, the geodesic metres between two points of each of the rows."""
+    flat = "(1 - 1 / 298.257223563e0)"
+    return f"""(SELECT h3, 6378137e0 * (w - (coalesce((w - sin(w)) * p * p * (1 - q * q) / nullif(1 - h, 0), 0) + coalesce((w + sin(w)) * (1 - p * p) * q * q / nullif(h, 0), 0)) / (2 * 298.257223563e0)) AS m
+        FROM (SELECT h3, sin((a + b) / 2) AS p, sin((b - a) / 2) AS q, h, 2 * asin(sqrt(h)) AS w
+        FROM (SELECT *, least(1e0, power(sin((b - a) / 2), 2) + cos(a) * cos(b) * power(sin(l / 2), 2)) AS h
+        FROM (SELECT h3, atan({flat} * tan(radians({lat1}))) AS a, atan({flat} * tan(radians({lat2}))) AS b, radians({lon2} - ({lon1})) AS l FROM {rows}) g1) g2) g3)"""
+
+
+@query("G7_distance_area", "cells", f"SELECT c.h3, {R('m / 1000', 'km')}, {R(f'6378137e0 * radians(1e0) * ({_ordinate("r - 56")} - {_ordinate("r - 57")}) / 1e6', 'km2')} FROM cells c JOIN {_metres('cells', 'r - 57e0', 'q - 64e0', 'r - 56e0', 'q - 62e0')} g ON c.h3 = g.h3")
 def _(t):
     lat, lon = (F.col("r") - 57).cast("double"), (F.col("q") - 64).cast("double")
-    return t.cells.select("h3", (spatial.haversine(lat, lon, lat + 1, lon + 2) / 1000).alias("km"), (spatial.box_area(lon, lat, lon + 1, lat + 1) / 1e6).alias("km2"))
+    return t.cells.select("h3", (spatial.geodesic(lat, lon, lat + 1, lon + 2) / 1000).alias("km"), (spatial.box_area(lon, lat, lon + 1, lat + 1) / 1e6).alias("km2"))
 
 
 #: Hexagons of whole coordinates that tile the plane: centre (4q + 2r, 3r).
@@ -231,7 +249,7 @@ def _(t):
     return spatial.area_weighted(raster_rows(t.embeddings, "embedding", ["vec_id"]), lookup, by=("vec_id",))
 
 
-@query("J23_coast_distance", "cells", f"WITH s AS (SELECT c_custkey, (c_custkey % 37) * 1e0 AS ax, (c_custkey % 11) * 1e0 AS ay FROM customer), n AS (SELECT h3, q + 0.5e0 AS lon, r + 0.25e0 AS lat, greatest(0e0, least(1e0, ((q + 0.5e0 - ax) * 3 + (r + 0.25e0 - ay) * 4) / 25e0)) AS t, ax, ay FROM cells CROSS JOIN (SELECT DISTINCT ax, ay FROM s)), m AS (SELECT h3, lon, lat, ax + t * 3 AS px, ay + t * 4 AS py FROM n), k AS (SELECT h3, lon, lat, px, py, row_number() OVER (PARTITION BY h3 ORDER BY (px - lon) * (px - lon) + (py - lat) * (py - lat), px, py) AS k FROM m) SELECT h3, round(2 * 6371008.8e0 * asin(sqrt(least(1e0, power(sin(radians(py - lat) / 2), 2) + cos(radians(lat)) * cos(radians(py)) * power(sin(radians(px - lon) / 2), 2)))) / 1000, 3) AS dist_km FROM k WHERE k = 1")
+@query("J23_coast_distance", "cells", f"WITH s AS (SELECT c_custkey, (c_custkey % 37) * 1e0 AS ax, (c_custkey % 11) * 1e0 AS ay FROM customer), n AS (SELECT h3, q + 0.5e0 AS lon, r + 0.25e0 AS lat, greatest(0e0, least(1e0, ((q + 0.5e0 - ax) * 3 + (r + 0.25e0 - ay) * 4) / 25e0)) AS t, ax, ay FROM cells CROSS JOIN (SELECT DISTINCT ax, ay FROM s)), m AS (SELECT h3, lon, lat, ax + t * 3 AS px, ay + t * 4 AS py FROM n), k AS (SELECT h3, lon, lat, px, py, row_number() OVER (PARTITION BY h3 ORDER BY (px - lon) * (px - lon) + (py - lat) * (py - lat), px, py) AS k FROM m) SELECT h3, round(m / 1000, 3) AS dist_km FROM {_metres('(SELECT * FROM k WHERE k = 1)', 'lat', 'lon', 'py', 'px')} g")
 def _(t):
     a = t.customer.select((F.col("c_custkey") % 37).cast("double").alias("ax"), (F.col("c_custkey") % 11).cast("double").alias("ay")).distinct()
     segments = a.select("ax", "ay", (F.col("ax") + 3).alias("bx"), (F.col("ay") + 4).alias("by"))
