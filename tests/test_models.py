@@ -1,6 +1,8 @@
-"""The density score with its boosted prior, and the sweep over component counts."""
+"""Models on data whose answer is known: two clusters of positive rows, a target of one feature, three nodes on a line."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidecube.plans import models
 from tidecube.queries import QUERIES
@@ -32,3 +34,78 @@ def test_blend_of_fitted_models(two_kinds):
 def test_queries_left_out_elsewhere(spark, small, name):
     got = QUERIES[name](spark, small)
     assert got.count() == (2 if name == "L9_component_sweep" else got.select("h3", "date").distinct().count()) > 0
+
+
+@pytest.fixture(scope="module")
+def positive(two_kinds):
+    return two_kinds.where("y > 0")
+
+
+def test_density_is_high_in_the_clusters_only(two_kinds):
+    fitted = models.density_regressor(two_kinds, ["a", "b"], "y", 2)
+    got = models.density_score(two_kinds, fitted).collect()
+    assert all(0 <= r.plausibility <= 1 and r.density_log == pytest.approx(r.plausibility * fitted[3]) for r in got)
+    assert all(r.plausibility == 0 for r in got if r.id >= 100) and np.mean([r.plausibility for r in got if r.id < 100]) > 0.3
+
+
+@pytest.mark.parametrize("kept", [["a", "b"], ["b"]])
+def test_posterior_tells_the_clusters_apart(positive, kept):
+    m, _ = models.mixture(positive, ["a", "b"], 2)
+    got = models.with_component(positive, m.marginal(kept)).collect()
+    assert len({(r.id >= 60, r.component) for r in got}) == 2
+    assert all(r.component_probability > 0.999 and r.component_entropy < 0.01 and sum(r.probabilities) == pytest.approx(1) for r in got)
+
+
+def test_report_is_in_raw_units(positive):
+    m, _ = models.mixture(positive, ["a", "b"], 2)
+    low, high = sorted(m.report(), key=lambda r: r["a_mean"])
+    for r, ids, w in ((low, range(60), 0.6), (high, range(60, 100), 0.4)):
+        a = [i % 7 / 10 if i < 60 else 20 + (i - 60) % 7 / 10 for i in ids]
+        assert r["weight"] == pytest.approx(w, abs=0.01) and r["a_mean"] == pytest.approx(np.mean(a), abs=0.01) and r["a_std"] == pytest.approx(np.std(a), rel=0.05)
+
+
+def test_clusters_and_distances(positive):
+    got = [r.asDict() for r in models.clusters(positive, ["a", "b"], 2).collect()]
+    assert len({(r["id"] >= 60, r["seascape"]) for r in got}) == 2
+    x = np.array([[r["a"], r["b"]] for r in got])
+    z, c = (x - x.mean(0)) / x.std(0, ddof=1), np.array([r["seascape"] for r in got])
+    want = [np.linalg.norm(v - z[c == k].mean(0)) for v, k in zip(z, c)]
+    assert [r["seascape_distance"] for r in got] == pytest.approx(want)
+
+
+def test_map_classes_keep_the_clusters_apart(positive):
+    m = models.self_organising_map(positive, ["a", "b"], side=4, epochs=12)
+    cls = dict(models.prototypes_table(positive, m, 2).select("som_prototype", "seascape").collect())
+    got = models.with_prototype(positive, m).collect()
+    assert len(cls) == 16 and len({(r.id >= 60, cls[r.som_prototype]) for r in got}) == 2
+
+
+def test_cuts_of_three_nodes():
+    (got,) = models.compare_cuts(np.array([[0.0], [1.0], [10.0]]), [2])
+    want = {"k": 2, "singletons": 1, "within": 0.5, "silhouette": (0.9 + 8 / 9) / 3, "centroid_distance": 9.5, "davies_bouldin": 0.5 / 9.5}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+@pytest.fixture(scope="module")
+def slope(spark):
+    return spark.range(400).select(F.col("id"), (F.col("id") % 100).cast("double").alias("a"), F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("b"), (3.0 * (F.col("id") % 100)).alias("y"), (F.col("id") % 4).alias("fold"))
+
+
+def test_importance_and_dependence_follow_the_one_feature(slope):
+    fitted = models.forest(slope, ["a", "b"], "y", models.Size(trees=5, depth=6, leaf=1))
+    top, rest = models.importances(fitted, ["a", "b"], slope).collect()
+    assert top.feature == "a" and top.importance > 0.9 and top.importance + rest.importance == pytest.approx(1)
+    got = sorted(models.partial_dependence(fitted, slope, "a", 5).collect())
+    assert [r.value for r in got] == pytest.approx(np.linspace(got[0].value, got[-1].value, 5)) and (got[0].value, got[-1].value) == pytest.approx((2, 97), abs=1.1)
+    assert [r.prediction for r in got] == pytest.approx([3 * r.value for r in got], abs=15)
+
+
+def test_folds_are_scored_by_models_that_have_not_seen_them(slope):
+    seen = []
+
+    def fit(train):
+        seen.append({r.fold for r in train.select("fold").distinct().collect()})
+        return models.forest(train, ["a"], "y", models.Size(trees=3, depth=6, leaf=1))
+
+    got = models.cross_validate(slope, ["a"], "y", 4, fit).orderBy("fold").collect()
+    assert seen == [set(range(4)) - {f} for f in range(4)] and [r.n for r in got] == [100] * 4 and all(r.rmse < 15 for r in got)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecube.operators.ordering import quantiles
+from tidecube.sources.store import shared_folder
 
 
 @dataclass(frozen=True)
@@ -252,10 +253,14 @@ class Map:
 def self_organising_map(df: DataFrame, features: Sequence[str], side: int = 15, epochs: int = 12, sigma: float = 2.0, seed: int = 42) -> Map:
     """Batch training: each epoch every task sums its rows by nearest node, and the sums, smoothed over the grid, give the nodes.
 
-    What returns from an epoch is one row a node. The start is a plane spanned by the two main axes of the data.
+    What returns from an epoch is one row a node. The start is a plane spanned by the two main axes of the data. The
+    features are written once, and every epoch reads them.
     """
     f = list(features)
-    stats = df.na.drop(subset=f).agg(*(x for c in f for x in (F.avg(c), F.stddev_pop(c))), *(F.covar_pop(a, b) for a in f for b in f)).first()
+    path = shared_folder(df.sparkSession, "map")
+    df.select(*f).na.drop().write.parquet(path)
+    own = df.sparkSession.read.parquet(path)
+    stats = own.agg(*(x for c in f for x in (F.avg(c), F.stddev_pop(c))), *(F.covar_pop(a, b) for a in f for b in f)).first()
     mean = np.array(stats[0 : 2 * len(f) : 2], float)
     scale = np.array([s or 1.0 for s in stats[1 : 2 * len(f) : 2]], float)
     cov = np.array(stats[2 * len(f) :], float).reshape(len(f), len(f)) / np.outer(scale, scale)
@@ -265,7 +270,6 @@ def self_organising_map(df: DataFrame, features: Sequence[str], side: int = 15,
     nodes = np.array([a * axes[:, -1] * np.sqrt(max(values[-1], 0)) + b * second for a in steps for b in steps])
     at = np.array([(i, j) for i in range(side) for j in range(side)], float)
     apart = ((at[:, None] - at[None, :]) ** 2).sum(2)
-    own = df.select(*f).na.drop()
     for epoch in range(epochs):
         m = Map(tuple(f), mean, scale, nodes, side)
 

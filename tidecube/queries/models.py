@@ -1,4 +1,4 @@
-"""L: models on the cube's features, small sizes of the production ones. Fits have no SQL; tests check them by their invariants."""
+"""L: models on the cube's features. Mixtures, clusters and the map have their production sizes, trees smaller ones (``_SMALL``). Fits have no SQL; tests check them on data with a known answer."""
 
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ query("L3_boosting")(_accuracy(lambda d: models.boosting(d, _X, "target", _SMALL
 @query("L4_density_regressor")
 def _(t):
     own = data(t)
-    return models.density_score(own, models.density_regressor(own, _X[:3], "target", k=3)).select("h3", "date", "plausibility", "density_log")
+    return models.density_score(own, models.density_regressor(own, _X[:3], "target")).select("h3", "date", "plausibility", "density_log")
 
 
 @query("L5_blend", "env", f"SELECT h3, date, {R('0.5e0 * sst + 0.5e0 * greatest(wind_v10, 0)', 'score')} FROM env", days="date")
@@ -57,7 +57,7 @@ def _(t):
 
 @query("L7_component_posterior")
 def _(t):
-    m, _ = models.mixture(t.env, _X, k=3, rounds=20)
+    m, _ = models.mixture(t.env, _X)
     return models.with_component(t.env, m.marginal(_X[:3])).select("h3", "date", "component", "component_probability", "component_entropy")
 
 
@@ -70,7 +70,7 @@ def _(t):
 
 @query("L8_mixture_report")
 def _(t):
-    m, _ = models.mixture(t.env, _X[:3], k=3, rounds=20)
+    m, _ = models.mixture(t.env, _X[:3])
     return t.spark.createDataFrame(m.report())
 
 
@@ -81,11 +81,11 @@ def _(t):
 
 @query("L10_kmeans")
 def _(t):
-    return models.clusters(t.env, _X, k=6).select("h3", "date", "seascape", "seascape_distance")
+    return models.clusters(t.env, _X).select("h3", "date", "seascape", "seascape_distance")
 
 
 def _map(t):
-    return models.self_organising_map(t.env, _X, side=6, epochs=5)
+    return models.self_organising_map(t.env, _X)
 
 
 @query("L11_som_errors")
