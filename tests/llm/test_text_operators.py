@@ -398,6 +398,17 @@ def test_samples_are_bounded_and_whole(spark):
     assert len(fr) < 1_100 and fr.endswith("the end") and fr.startswith(long[:100])
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_sample_is_the_rows_of_least_hashes(spark, parts):
+    rows = [(i % 4_000, f"row {i % 4_000} of many", "en") for i in range(6_000)] + [(1, "the same text", "en")] * 3_000 + [(i, f"rang {i}", "fr") for i in range(130)] + [(i, f"zeile {i}", "de") for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    got = language.training_sample(df, "doc_id", "text", "lang").toPandas()
+    every = df.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).distinct().toPandas().sort_values("h")
+    want = every.groupby("lang").head(language.SAMPLE_DOCS)
+    assert sorted(zip(got["lang"], got["h"], got["text"])) == sorted(zip(want["lang"], want["h"], want["text"]))
+    assert got.groupby("lang").size().to_dict() == {"en": 60, "fr": 60, "de": 7}
+
+
 def test_language_of_odd_rows(spark, odd, docs):
     model = language.fit(docs)
     got = language.identify(odd, model).collect()

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecube.llm.common import lean_arrow, materialize
+from tidecube.llm.common import lean_arrow, materialize, maybe_broadcast
 
 #: Labelled texts that a language is learned from, at most: drawn by the hash of id and text.
 SAMPLE_DOCS = 60
@@ -182,13 +182,24 @@ def _spread(text: Column) -> Column:
     return F.when(F.length(text) > SAMPLE_CHARS_A_DOC, F.array_join(pieces, "\n")).otherwise(text)
 
 
+def _level(h: Column) -> Column:
+    """Grows with the hash: a level has as many possible hashes as all below it together."""
+    return F.floor(F.log2(F.greatest(h.cast("double") + F.lit(2.0**63), F.lit(1.0)))).cast("int")
+
+
 def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, h, text) of at most ``docs`` rows for each language, those with the least hashes of id and text; equal rows are one."""
+    """(lang, h, text) of at most ``docs`` rows for each language, those with the least hashes of id and text; equal rows are one.
+
+    A language's different rows are counted by levels of their hashes first. Only those on the levels up to the one that
+    makes them twice ``docs`` are ordered, a few times ``docs`` however many rows or tasks there are.
+    """
     own = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
-    hashes = own.select("lang", "h").distinct()
-    chosen = materialize(hashes.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs).select("lang", "h"), "language-chosen")
-    met = own.join(F.broadcast(chosen), ["lang", "h"], "left_semi")  # at most ``docs`` rows a language
-    return met.select("lang", "h", _spread(F.col("text")).alias("text")).dropDuplicates(["lang", "h"])
+    counts = own.groupBy("lang", _level(F.col("h")).alias("level")).agg(F.approx_count_distinct("h").alias("n"))
+    up_to = counts.withColumn("n", F.sum("n").over(W.partitionBy("lang").orderBy("level")))  # 64 levels a language
+    cuts = materialize(up_to.where(F.col("n") >= 2 * docs).groupBy("lang").agg(F.min("level").alias("cut")), "language-cuts")
+    low = own.join(maybe_broadcast(cuts), "lang", "left").where(F.col("cut").isNull() | (_level(F.col("h")) <= F.col("cut")))
+    own = low.select("lang", "h", _spread(F.col("text")).alias("text")).dropDuplicates(["lang", "h"])
+    return own.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs).drop("k")
 
 
 class LanguageModel:
