@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: A broadcast side may have this many bytes of values; beyond it Spark joins by shuffle.
 BROADCAST_BYTES = 24 << 20
+#: Bits of a bitmap: 16 a hash, between these powers of two.
+BITMAP_LOG2 = (16, 27)
 #: What a row costs in a broadcast besides its values.
 _ROW_BYTES = 24
 
@@ -39,6 +42,14 @@ def materialize(df: DataFrame, label: str, sort: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a written table that no frame in use reads any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def value_bytes(df: DataFrame) -> int:
     """Bytes of all values of df, from one aggregate; nested values other than arrays of numbers or text count by their JSON."""
 
@@ -80,3 +91,24 @@ def lean_arrow() -> None:
     import pyarrow as pa
 
     pa.set_memory_pool(pa.system_memory_pool())
+
+
+def bitmap(found: DataFrame) -> np.ndarray:
+    """The hashes of column h (long) as a bitmap with two bits a hash; what is collected is bounded by the bitmap's own size."""
+    n = found.count()
+    log2 = min(max(int(16 * n).bit_length(), BITMAP_LOG2[0]), BITMAP_LOG2[1])
+    low = F.col("h").bitwiseAND((1 << log2) - 1)
+    high = F.shiftrightunsigned("h", 64 - log2)
+    at = found.select(F.explode(F.array(low, high)).alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
+    bits = np.zeros(1 << (log2 - 5), np.uint32)
+    got = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return bits
+
+
+def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indices of the hashes (unsigned) that the bitmap lets through."""
+    log2 = np.uint64(len(bits).bit_length() + 4)
+    test = lambda p: bits[p >> np.uint64(5)] >> (p & np.uint64(31)).astype(np.uint32) & np.uint32(1)
+    at = np.flatnonzero(test(h & ((np.uint64(1) << log2) - np.uint64(1))))
+    return at[test(h[at] >> (np.uint64(64) - log2)) > 0]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecube.llm.common import lean_arrow, materialize, maybe_broadcast
+from tidecube.llm.common import bitmap, lean_arrow, materialize, maybe_broadcast, passing
 
 #: Token positions that each mask reads.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
@@ -37,8 +37,6 @@ LEAST_TOKENS = 5
 MIN_MATCH = 0.8
 #: Tokens kept on either side of a hit.
 CONTEXT = 16
-#: Bits of the bitmap: 16 a seed, between these powers of two.
-BITMAP_LOG2 = (16, 27)
 _TOKEN = re.compile(r"\w+")
 _CHUNK = 400_000
 
@@ -117,27 +115,6 @@ def _item_seeds(items: DataFrame, masks: list[Mask]) -> DataFrame:
     return items.select("item", "item_tokens").mapInArrow(run, schema)
 
 
-def _bitmap(found: DataFrame) -> np.ndarray:
-    """The seeds as a bitmap with two bits a seed; what is collected is bounded by the bitmap's own size."""
-    n = found.count()
-    log2 = min(max(int(16 * n).bit_length(), BITMAP_LOG2[0]), BITMAP_LOG2[1])
-    low = F.col("h").bitwiseAND((1 << log2) - 1)
-    high = F.shiftrightunsigned("h", 64 - log2)
-    at = found.select(F.explode(F.array(low, high)).alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
-    bits = np.zeros(1 << (log2 - 5), np.uint32)
-    got = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-    return bits
-
-
-def _passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Indices of the seeds that the bitmap lets through."""
-    log2 = np.uint64(len(bits).bit_length() + 4)
-    test = lambda p: bits[p >> np.uint64(5)] >> (p & np.uint64(31)).astype(np.uint32) & np.uint32(1)
-    at = np.flatnonzero(test(h & ((np.uint64(1) << log2) - np.uint64(1))))
-    return at[test(h[at] >> (np.uint64(64) - log2)) > 0]
-
-
 def _segments(docs: DataFrame, bits: np.ndarray, masks: list[Mask]) -> DataFrame:
     """A row for each stretch of a document around its hits: id, start, tokens, hit_pos (in the document), hit_h."""
     kinds = sorted({m for m, _ in masks})
@@ -153,7 +130,7 @@ def _segments(docs: DataFrame, bits: np.ndarray, masks: list[Mask]) -> DataFrame
                 pos, hit = [], []
                 for mask in kinds:
                     s = seeds(flat, mask)
-                    p = _passing(s, table)
+                    p = passing(s, table)
                     row = np.searchsorted(ends, p, "right")
                     p = p[p + mask[-1] < ends[row]]  # the mask stays within one document
                     pos.append(p)
@@ -243,7 +220,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     lengths = [r[0] for r in whole.select(F.least(F.size("item_tokens"), F.lit(MIN_TOKENS))).distinct().collect()]  # at most one row a length up to MIN_TOKENS
     masks = masks_for(lengths)
     found = materialize(_item_seeds(whole, masks), "seeds")
-    segments = materialize(_segments(d, _bitmap(found), masks).withColumn("seg", F.monotonically_increasing_id()), "segments")
+    segments = materialize(_segments(d, bitmap(found), masks).withColumn("seg", F.monotonically_increasing_id()), "segments")
     hits = segments.select("seg", F.explode(F.arrays_zip("hit_pos", "hit_h")).alias("x")).select("seg", "x.hit_pos", F.col("x.hit_h").alias("h"))
     met = hits.join(maybe_broadcast(found), "h").groupBy("seg", "item", (F.col("hit_pos") - F.col("item_pos")).alias("diag")).agg(F.count("*").alias("n_hits"))
     met = maybe_broadcast(materialize(met, "met"))  # few of the segments: those are not shuffled for it

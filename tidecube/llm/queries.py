@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecube.llm import attention_lm, chat, decontaminate, exact_dedup, language, mixing, quality, sharding, simhash, url_rules
+from tidecube.llm import attention_lm, chat, decontaminate, exact_dedup, language, mixing, periodic_runs, phrases, quality, sharding, simhash, token_files, url_rules
 from tidecube.llm.common import crc_mod, table
 
 
@@ -80,6 +81,37 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenizer lowers and drops white space, and its parts are words, so words apart have the ids of the whole text."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), words_apart=True)
+    return token_files.read_tokens(spark, folder, docs.schema["doc_id"].dataType).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _tail_of_repeats(doc_id: object, n: int) -> tuple[int, int] | None:
+    """Every tenth document, by the CRC-32 of its id, ends in repeats: (first word, period)."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), overlay=_tail_of_repeats, keep_text=False)
+    # The greatest length, then the smallest start, then the smallest period.
+    order = F.transform(F.arrays_zip("lengths", "starts", "periods"), lambda r: F.struct((-r["lengths"]).alias("least"), r["starts"].alias("start"), r["periods"].alias("period")))
+    best = found.withColumn("b", F.array_min(order)).withColumn("length", -F.col("b.least"))
+    milli = F.expr("1000 * length div b.period")
+    return best.select("doc_id", F.size("starts").cast("long").alias("n_runs"), F.col("b.start").alias("start"), "length", F.col("b.period").alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,12 +119,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_simhash, op3_mixing, op4_quality, op5_url_rules, op6_language, op7_sharding, op8_attention_lm, op9_exact_dedup, op10_chat, pipeline)
+    f.__name__: f for f in (op1_decontamination, op2_simhash, op3_mixing, op4_quality, op5_url_rules, op6_language, op7_sharding, op8_attention_lm, op9_exact_dedup, op10_chat, op11_phrases, op12_token_files, op13_periodic_runs, pipeline)
 }
 
 _ESCAPE = chat.ESCAPE.replace("'", "''")
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES: dict[str, str] = {
+    "op11_phrases": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+        s AS (SELECT lang, w[i:i + m - 1] AS x FROM g, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w)),
+        f AS (SELECT lang, x, count(*) AS a FROM s GROUP BY lang, x HAVING count(*) >= 30),
+        k AS (SELECT lang, x, a, unnest(range(1, len(x))) AS k FROM f WHERE len(x) > 1),
+        c AS (
+            SELECT k.lang, k.x, k.a, k.k, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * k.a) // (l.a + r.a) AS BIGINT) AS score
+            FROM k JOIN f l ON l.lang = k.lang AND l.x = k.x[1:k.k] JOIN f r ON r.lang = k.lang AND r.x = k.x[k.k + 1:]),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+        o AS (SELECT lang, x, a, unnest(range(1, len(x) + 1)) AS i FROM f WHERE len(x) > 2),
+        i AS (SELECT lang, x[i:i + m - 1] AS x, max(a) AS larger FROM o, (SELECT unnest([2, 3]) AS m) WHERE m < len(x) AND i + m - 1 <= len(x) GROUP BY 1, 2),
+        z AS (
+            SELECT b.lang, array_to_string(b.x, ' ') AS phrase, b.a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.x = b.x
+            WHERE i.larger IS NULL OR 100::HUGEINT * i.larger < 80::HUGEINT * b.a)
+        SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM z JOIN t ON t.lang = z.lang QUALIFY rank <= 2000""",
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
