@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,7 +30,9 @@ def back(spark, folder, kind="long"):
 def test_ids_of_words_are_those_of_the_text(spark, small, library):
     encode = token_files.word_encoder(VOCABULARY, cache=500)
     for text in [*ODD, *(r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect())]:
-        assert encode(text.encode()).tolist() == library(text)
+        assert encode(pa.array([text]))[0].tolist() == library(text)
+    ids, n = encode(pa.array(["skip", *ODD, *ODD]).slice(1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library(t) for t in [*ODD, *ODD]]
 
 
 @pytest.mark.parametrize("segment", [token_files.SEGMENT, 40])

@@ -16,6 +16,8 @@ executor or a second attempt leaves is not read.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -23,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,50 +40,101 @@ LANES = 1_024
 #: A segment is closed when it has so many ids; a longer document is cut at every so many.
 SEGMENT = 1 << 18
 BLOCK_SEGMENTS = 4
+#: Segments that a reading task decodes, on average.
+SEGMENTS_A_TASK = 8
 #: States stay in [LOW, 2^32 * LOW) and move by 32 bits.
 LOW = 1 << 31
-#: Pieces of text whose ids a worker keeps; it forgets them all when it has more.
+#: Parts of texts, and runs of characters, whose ids a worker keeps; it forgets them all when it would have more.
 CACHE = 600_000
+_RUNS = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0D]+")
+#: Bytes of texts that are encoded at once, but for one text's.
+_TEXTS = 6 << 20
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4"), ("words", "<u4"), ("pieces", "<u4"), ("names", "<u4"), ("crc", "<u4"), ("first_token", "<u8"), ("first_doc", "<u8"), ("first_at", "<u8"), ("open", "u1")])
 
-Encode = Callable[[bytes], np.ndarray]
+#: Texts (strings without nulls) -> (the ids of all, how many each has).
+Encode = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def word_encoder(path: str, cache: int = CACHE) -> Encode:
-    """ids of a text by a tokenizer of the tokenizers library whose normaliser and splitter never look across white space.
+    """ids of texts by a tokenizer of the tokenizers library that looks neither across white space nor from letters to what is none, but for apostrophes.
 
-    Such a tokenizer gives a text the ids of its parts between white space, one after the other, so each part goes through
-    the library once and is remembered. A-Z are lowered before that only in parts of plain ASCII, and only if the tokenizer lowers them too.
+    Such a tokenizer gives a text the ids of its runs of letters and of other characters, one after the other; each different
+    run goes through the library once, many at a time, and is remembered. Parts between white space that hold an apostrophe, a
+    special token or signs beyond ASCII that are no letters go through it whole.
     """
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     own = Tokenizer.from_file(path)
     width = np.uint16 if own.get_vocab_size() <= 1 << 16 else np.uint32
     lowers = own.encode("ABC xyz", add_special_tokens=False).ids == own.encode("abc xyz", add_special_tokens=False).ids
-    known: dict[bytes, bytes] = {}
-
-    class Parts(dict):
-        def __missing__(self, part: bytes) -> bytes:
-            if len(self) > cache:
-                self.clear()
-                known.clear()
-            name = part.lower() if lowers and part.isascii() else part
-            if (found := known.get(name)) is None:
-                found = known[name] = np.array(own.encode(name.decode("utf-8", "replace"), add_special_tokens=False).ids, width).tobytes()
-            self[part] = found
-            return found
-
-    parts = Parts()
-    return lambda text: np.frombuffer(b"".join(map(parts.__getitem__, text.split())), width)
+    special = [t.content.lower().encode() for t in own.get_added_tokens_decoder().values()]
+    runs: dict[bytes, bytes] = {}
+    parts: dict[bytes, bytes] = {}
+
+    def whole(some: set[bytes]) -> dict[bytes, bytes]:
+        found = own.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
+        return {x: np.array(e.ids, width).tobytes() for x, e in zip(some, found)}
+
+    def runs_of(part: bytes, watched: list[bytes]) -> list[bytes]:
+        """The runs of a part whose ends are ends for the tokenizer too; else the part."""
+        if b"'" in part or watched and any(t in part.lower() for t in watched):
+            return [part]
+        if part.isascii():
+            if part.isalpha():
+                return [part.lower() if lowers else part]
+            return _RUNS.findall(part.lower() if lowers else part)
+        own_runs = _RUNS.findall(part)
+        for run in own_runs:
+            if not run.isascii() and not ((text := run.decode("utf-8", "replace"))[0].isalpha() and text[-1].isalpha()):
+                return [part]
+        return own_runs
+
+    def learn(new: list[bytes]) -> None:
+        every = b" ".join(new).lower()
+        watched = [t for t in special if t in every]
+        rows = [runs_of(part, watched) for part in new]
+        if len(runs) + len(wanted := set().union(*rows)) > cache:
+            runs.clear()
+        runs.update(whole(wanted.difference(runs)))
+        if len(parts) + len(new) > cache:
+            parts.clear()
+        parts.update((part, b"".join(map(runs.__getitem__, row))) for part, row in zip(new, rows))
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.cast(pa.binary()).to_pylist()
+        if len(new := set(different).difference(parts)):
+            if len(parts) + len(new) > cache:  # all of them go, so that none is missing
+                parts.clear()
+                new = set(different)
+            learn(list(new))
+        found = list(map(parts.__getitem__, different))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(width).itemsize
+        at, each = words.indices.to_numpy(), np.frombuffer(b"".join(found), width)
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = each[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return ids, np.diff(np.concatenate([[0], ends])[edges])
+
+    return encode
 
 
 def text_encoder(path: str) -> Encode:
-    """ids of a text by any tokenizer of the tokenizers library: every whole text goes through the library."""
+    """ids of texts by any tokenizer of the tokenizers library: every whole text goes through the library."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     own = Tokenizer.from_file(path)
     width = np.uint16 if own.get_vocab_size() <= 1 << 16 else np.uint32
-    return lambda text: np.array(own.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, width)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.array(e.ids, width) for e in own.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([*rows, np.zeros(0, width)]), np.array([len(r) for r in rows], np.int64)
+
+    return encode
 
 
 _ENCODERS: dict[tuple, Encode] = {}
@@ -176,11 +230,19 @@ def _segments(docs: DataFrame, make: Callable[[str], Encode], path: str, end: in
             ids, names, lengths, held, seq, first = [], [], [], 0, seq + 1, doc
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                own = encode(text.as_py() or b"")
+        def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
+            bytes_of = np.cumsum(pc.binary_length(texts).to_numpy())
+            first = 0
+            while first < len(texts):
+                last = max(first + 1, int(np.searchsorted(bytes_of, (bytes_of[first - 1] if first else 0) + _TEXTS, "right")))
+                flat, n = encode(texts.slice(first, last - first))
                 if end is not None:
-                    own = np.append(own, own.dtype.type(end))
+                    flat, n = np.insert(flat, np.cumsum(n), end), n + 1
+                yield from np.split(flat, np.cumsum(n)[:-1])
+                first = last
+
+        for batch in batches:
+            for name, own in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 if len(own) > size:  # a document that has segments of its own
                     if names:
                         yield closed()
@@ -298,7 +360,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Documents come in ascending order of id, null ids first, and equal ids in the order of their rows; files' names are in
     that order too. ``end`` is appended to each document. A null text is an empty one. Ids may be of any type that can be
     ordered and cast to text and back; other columns are not read. ``words_apart`` says that the tokenizer never looks
-    across white space (see word_encoder). ``tokenizer`` is a file that every executor has. An empty table writes no file.
+    across white space and more (see word_encoder). ``tokenizer`` is a file that every executor has. An empty table writes no file.
     """
     from tokenizers import Tokenizer
 
@@ -309,7 +371,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     # Only the id and the place are sampled for the ranges; the place deals out rows of equal ids.
     placed = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"), F.col(text_col).alias("text"))
     ordered = placed.repartitionByRange(F.col("id").asc_nulls_first(), F.col("at")).sortWithinPartitions(F.col("id").asc_nulls_first(), "at")
-    segments = materialize(_segments(ordered.select(F.col("id").cast("string"), "text"), word_encoder if words_apart else text_encoder, tokenizer, end, segment), "token-segments")
+    segments = materialize(_segments(ordered.select(F.col("id").cast("string"), F.coalesce("text", F.lit(""))), word_encoder if words_apart else text_encoder, tokenizer, end, segment), "token-segments")
     freq, log2 = frequencies(_counts(segments, vocabulary, width))
     _written(segments, folder, Coder(freq, log2), width).write.parquet(f"{folder}/files")
     discard(segments)
@@ -375,7 +437,8 @@ def read_tokens(spark: SparkSession, folder: str, id_type: T.DataType | str = "l
 
     entries = files.select("part", "path", "base").mapInArrow(indexes, "part int, path string, base long, entry binary, cut boolean")
     dealt = materialize(entries, "token-index")
-    read = lambda own: own.repartition(F.xxhash64("entry", "path")).drop("cut").mapInArrow(decode, "part int, doc long, name string, start long, ids binary")
+    segments = max(1, dealt.count() // SEGMENTS_A_TASK)
+    read = lambda own: own.repartition(segments, F.xxhash64("entry", "path")).drop("cut").mapInArrow(decode, "part int, doc long, name string, start long, ids binary")
     whole = read(dealt.where("NOT cut")).select("name", "start", "ids")
     parts = read(dealt.where("cut")).groupBy("part", "doc").agg(F.first("name").alias("name"), F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("x"))
     joined = parts.select("name", "start", F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
