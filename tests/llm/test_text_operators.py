@@ -172,6 +172,15 @@ def test_equal_items_are_one(spark):
     assert (r.item_id, r.n_items) == (7, 3)
 
 
+def test_one_id_with_two_texts(spark):
+    """Each text is judged on its own, and gives one row a document."""
+    a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(20))
+    items = spark.createDataFrame([(7, a), (7, b), (9, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} x {b}")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["item_tokens"], r["n_items"]) for r in decontaminate.overlaps(docs, items).collect())
+    assert got == [(1, 7, 30, 1), (2, 7, 20, 2), (3, 7, 20, 2), (3, 7, 30, 1)]
+
+
 def test_overlaps(spark):
     item = " ".join(f"i{k}" for k in range(20))
     changed = item.replace("i5 ", "XX ").replace("i12 ", "YY ")

@@ -100,7 +100,7 @@ def _chunks(texts, hashes: _Hashes) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _item_seeds(items: DataFrame, masks: list[Mask]) -> DataFrame:
-    """(item, item_pos, h) of (item, item_tokens): of short items the seeds of their own masks at their start only."""
+    """(item, item_pos, h) of (item, item_tokens), item being the text's number: of short items the seeds of their own masks at their start only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +216,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["item", "item_tokens"])
 
     read = items.mapInArrow(item_tokens, T.StructType([items.schema[0], T.StructField("item_tokens", T.ArrayType(T.LongType()))]))
-    whole = materialize(read.where(F.size("item_tokens") >= LEAST_TOKENS).groupBy("item_tokens").agg(F.min("item").alias("item"), F.count_distinct("item").alias("n_items")), "items")
+    texts = read.where(F.size("item_tokens") >= LEAST_TOKENS).groupBy("item_tokens").agg(F.min("item").alias("least"), F.count_distinct("item").alias("n_items"))
+    # A text is known by a number of its own: one id may have several texts, and several ids one.
+    whole = materialize(texts.select(F.monotonically_increasing_id().alias("item"), "item_tokens", "least", "n_items"), "items")
     lengths = [r[0] for r in whole.select(F.least(F.size("item_tokens"), F.lit(MIN_TOKENS))).distinct().collect()]  # at most one row a length up to MIN_TOKENS
     masks = masks_for(lengths)
     found = materialize(_item_seeds(whole, masks), "seeds")
@@ -225,10 +227,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     met = hits.join(maybe_broadcast(found), "h").groupBy("seg", "item", (F.col("hit_pos") - F.col("item_pos")).alias("diag")).agg(F.count("*").alias("n_hits"))
     met = maybe_broadcast(materialize(met, "met"))  # few of the segments: those are not shuffled for it
     pairs = segments.select("seg", "id", "start", "tokens").join(met, "seg").join(maybe_broadcast(whole.select("item", "item_tokens")), "item").select("id", "item", "start", "diag", "tokens", "item_tokens")
-    checked = _verified(pairs, d.schema[0], items.schema[0])
+    checked = _verified(pairs, d.schema[0], whole.schema["item"])
     best = F.max_by(F.struct("doc_start", "item_start", "n_tokens", "n_matched", "item_tokens"), F.struct("n_matched", -F.col("doc_start"), -F.col("item_start"), "n_tokens"))
-    per = checked.groupBy("id", "item").agg(best.alias("b")).join(maybe_broadcast(whole.select("item", "n_items")), "item")
-    return per.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*", "n_items")
+    per = checked.groupBy("id", "item").agg(best.alias("b")).join(maybe_broadcast(whole.select("item", "least", "n_items")), "item")
+    return per.select(F.col("id").alias(id_col), F.col("least").alias(item_col), "b.*", "n_items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
