@@ -32,9 +32,11 @@ def _(t):
     return t.env.select("date").distinct().select("date", s.alias("doy_sin"), c.alias("doy_cos"))
 
 
-@query("P5_season_lookup", oracle=f"SELECT {N('d', 'adjusted_doy')}, {R('sin(2 * pi() * d / 365)', 'doy_sin')}, {R('cos(2 * pi() * d / 365)', 'doy_cos')} FROM range(1, 366) t(d)")
+@query("P5_season_lookup", "env", f"SELECT h3, date, {R(f'sin(2 * pi() * ({_DOY}) / 365)', 'doy_sin')}, {R(f'cos(2 * pi() * ({_DOY}) / 365)', 'doy_cos')} FROM env", days="date")
 def _(t):
-    return dates.season_lookup(t.spark)
+    """The lookup table's terms at every cell and day."""
+    lookup = F.broadcast(dates.season_lookup(t.spark))  # 365 rows
+    return t.env.select("h3", "date", dates.adjusted_doy(F.col("date")).alias("adjusted_doy")).join(lookup, "adjusted_doy").select("h3", "date", "doy_sin", "doy_cos")
 
 
 @query("P6_wind_speed", "env", f"SELECT h3, date, {R('sqrt(wind_u10 * wind_u10 + wind_v10 * wind_v10)', 'wind_speed')} FROM env", days="date")
@@ -169,6 +171,9 @@ def _(t):
     return t.pred.select("h3", "date", *(c.alias(k) for k, c in scalars.one_hot(F.col("species"), ["A", "N"], "is_").items()))
 
 
-@query("P29_buffered_box", oracle=f"SELECT {R('-64 - 50e0 / (111 * cos(radians(-52e0)))', 'x0')}, {R('-57 - 50e0 / 111', 'y0')}, {R('-51 + 50e0 / (111 * cos(radians(-52e0)))', 'x1')}, {R('-47 + 50e0 / 111', 'y1')}")
+@query("P29_buffered_box", "cells", "SELECT h3, CAST(q - 64 AS DOUBLE) AS lon, CAST(r - 57 AS DOUBLE) AS lat FROM cells WHERE q - 64 BETWEEN -62 - 50e0 / (111 * cos(radians(-53e0))) AND -59 + 50e0 / (111 * cos(radians(-53e0))) AND r - 57 BETWEEN -56 - 50e0 / 111 AND -50 + 50e0 / 111")
 def _(t):
-    return t.spark.createDataFrame([scalars.buffered_box(-64, -57, -51, -47, 50)], "x0 double, y0 double, x1 double, y1 double")
+    """The cells whose centre lies in a region's box, widened by 50 km."""
+    x0, y0, x1, y1 = scalars.buffered_box(-62, -56, -59, -50, 50)
+    own = t.cells.select("h3", (F.col("q") - 64).cast("double").alias("lon"), (F.col("r") - 57).cast("double").alias("lat"))
+    return own.where(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))

@@ -91,9 +91,12 @@ def _(t):
     return scan.clean_effort(t.orders, {"o_custkey": "long", "o_orderstatus": "string", "o_totalprice": "double"})
 
 
-@query("S16_year_ranges", oracle=f"SELECT {N('y', 'year')}, greatest(make_date(y, 1, 1), DATE '1995-03-04') AS first, least(make_date(y, 12, 31), DATE '1998-02-01') AS last FROM range(1995, 1999) t(y)", days="first last")
+@query("S16_year_ranges", oracle=f"SELECT {N('y', 'year')}, greatest(make_date(y, 1, 1), DATE '1995-03-04') AS first, least(make_date(y, 12, 31), DATE '1998-02-01') AS last, count(l_orderkey) AS rows FROM range(1995, 1999) t(y) LEFT JOIN lineitem ON CAST(l_shipdate AS DATE) BETWEEN greatest(make_date(y, 1, 1), DATE '1995-03-04') AND least(make_date(y, 12, 31), DATE '1998-02-01') GROUP BY y", days="first last")
 def _(t):
-    return dates.year_ranges(t.spark, "1995-03-04", "1998-02-01")
+    """The rows of each clipped year."""
+    years = F.broadcast(dates.year_ranges(t.spark, "1995-03-04", "1998-02-01"))  # one row a year
+    counts = t.lineitem.select(F.to_date("l_shipdate").alias("d")).join(years, F.col("d").between(F.col("first"), F.col("last"))).groupBy("year").agg(F.count("*").alias("rows"))
+    return years.join(counts, "year", "left").na.fill(0, ["rows"]).select("year", "first", "last", "rows")
 
 
 @query("S17_year_spec", oracle=f"SELECT l_orderkey, {N('year(l_shipdate)', 'year')} FROM lineitem WHERE year(l_shipdate) IN (1996, 1998, 1999)")
