@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidecube.sources.store import shared_folder
+
 
 def top_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order, which must be total."""
@@ -37,21 +41,36 @@ BUCKETS = 1_000
 
 
 def bucketed(df: DataFrame, order: Column, buckets: int = BUCKETS) -> DataFrame:
-    """df with __b, which rises with ``order`` (numeric, nulls first): about even buckets between approximate quantiles."""
+    """df with __b, which rises with ``order`` (numeric, nulls first): about even buckets between approximate quantiles.
+
+    The quantiles are fixed here, by one aggregate, so that every use of the result has the same buckets; rows find theirs by binary search.
+    """
     v = order.cast("double")
-    cuts = F.broadcast(df.agg(F.percentile_approx(v, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("__cuts")))  # one row
-    # The cuts are in order: all that lie below come first.
-    return df.join(cuts, F.lit(True)).withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < v))).drop("__cuts")
+    found = df.agg(F.percentile_approx(v, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]  # at most ``buckets`` numbers
+    cuts = sorted({c for c in found or [] if -float("inf") < c < float("inf")})
+    own = df.withColumn("__bv", v)
+    if cuts:
+        own = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__bv", outputCol="__bat", handleInvalid="keep").transform(own)
+    else:
+        own = own.withColumn("__bat", F.lit(0.0))
+    return own.withColumn("__b", F.when(F.col("__bv").isNull(), -1).otherwise(F.col("__bat")).cast("int")).drop("__bv", "__bat")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that what it comes from is worked out once."""
+    path = shared_folder(df.sparkSession, "keys")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def up_to(df: DataFrame, order: Sequence[Column], more: DataFrame | None, wanted: Column) -> DataFrame:
     """df with __in on as many rows as ``wanted`` says, the first in a total order that starts with a number.
 
-    ``wanted`` is an expression over ``total`` (the number of rows) and the columns of ``more``, a table of one row. Rows
-    are counted by bucket, and only the bucket that holds the last one wanted is ordered.
+    ``wanted`` is an expression over ``total`` (the number of rows) and the columns of ``more``, a table of one row. The
+    keys are written once and counted by bucket, and only the bucket that holds the last one wanted is ordered.
     """
     key = F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order)))
-    placed = bucketed(df.select(key.alias("__k")), F.col("__k.k0"))
+    placed = bucketed(written(df.select(key.alias("__k"))), F.col("__k.k0"))
     sums = W.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row a bucket
     counts = placed.groupBy("__b").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(sums)).withColumn("total", F.sum("n").over(W.partitionBy()))
     counts = counts.join(more, F.lit(True)) if more is not None else counts
@@ -75,17 +94,29 @@ def running_total(df: DataFrame, order: str, value: str, name: str, buckets: int
 def quantiles(df: DataFrame, value: Column, qs: Sequence[float]) -> DataFrame:
     """One row with __q, the exact quantiles of a number with linear interpolation (null without values).
 
-    Values are counted first, and the counts summed by buckets, so that no task holds the values of a whole table.
+    Values are written once and counted by bucket; only the buckets that hold a wanted rank are opened, and their values counted before they are ordered.
     """
-    counts = df.select(value.cast("double").alias("__v")).where("__v is not null").groupBy("__v").agg(F.count("*").alias("__n"))
-    placed = running_total(counts, "__v", "__n", "__before")
-    total = F.broadcast(counts.agg(F.sum("__n").alias("__total")))  # one row
-    place = lambda q, end: end((F.col("__total") - 1) * F.lit(float(q)))
-    at = lambda i: F.max(F.when((F.col("__before") <= i) & (i < F.col("__before") + F.col("__n")), F.col("__v")))
-    found = placed.join(total, F.lit(True)).agg(F.max("__total").alias("__total"), *(at(place(q, f)).alias(f"{n}{k}") for k, q in enumerate(qs) for n, f in (("lo", F.floor), ("hi", F.ceil))))
-    part = lambda q: place(q, lambda x: x) - place(q, F.floor)
-    values = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * part(q) for k, q in enumerate(qs)]
-    return found.select(F.when(F.col("__total").isNotNull(), F.array(*values)).alias("__q"))
+    spark = df.sparkSession
+    placed = bucketed(written(df.select(value.cast("double").alias("__v")).where("__v is not null")), F.col("__v"))
+    sizes = dict(placed.groupBy("__b").agg(F.count("*")).collect())  # one row a bucket
+    starts, total = {}, 0
+    for b in sorted(sizes):
+        starts[b], total = total, total + sizes[b]
+    if not total:
+        return spark.createDataFrame([(None,)], "__q array<double>")
+    places = [(total - 1) * float(q) for q in qs]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    wanted: dict[int, list[int]] = {}
+    for r in ranks:
+        b = max((x for x in starts if starts[x] <= r), key=starts.get)
+        wanted.setdefault(b, []).append(r - starts[b])
+    asked = spark.createDataFrame([(b, r, starts[b] + r) for b, own in wanted.items() for r in own], "__b int, __r long, __rank long")
+    counts = placed.join(F.broadcast(asked.select("__b").distinct()), "__b").groupBy("__b", "__v").agg(F.count("*").alias("__n"))
+    upto = counts.withColumn("__upto", F.sum("__n").over(W.partitionBy("__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    hit = upto.join(F.broadcast(asked), "__b").where((F.col("__upto") - F.col("__n") <= F.col("__r")) & (F.col("__r") < F.col("__upto")))
+    at = dict(hit.select("__rank", "__v").collect())  # two rows a quantile
+    found = [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    return spark.createDataFrame([(found,)], "__q array<double>")
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:

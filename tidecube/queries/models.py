@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from tidecube.operators import aggregates as ag
 from tidecube.operators import grid, sampling
-from tidecube.plans import features, models
+from tidecube.operators.ordering import written
+from tidecube.plans import features, models, saved, trees
 from tidecube.queries.joins import _EDGES
 from tidecube.queries.registry import N, R, query
 from tidecube.schema import FEATURES
+from tidecube.sources.store import shared_folder
 
 _X = ["sst", "chl", "ssh", "wind_u10", "wind_v10"]
 _SMALL = models.Size(trees=10, depth=6, leaf=5, rounds=8)
@@ -155,15 +157,50 @@ _GRAD = "sqrt(avg(power(v.{c} - n.{c}, 2))) AS {c}_grad"
 _ALL = [*("sst", "ssh", "wind_speed", "chl_log"), *(f"{c} - avg({c}) OVER w AS {c}_anom" for c in ("sst", "ssh", "wind_speed", "chl_log")), "sin(2 * pi() * (doy - 1) / 365) AS doy_sin", "cos(2 * pi() * (doy - 1) / 365) AS doy_cos"]
 
 
+def _feature_grid(t):
+    """The feature stage with all its columns: derived ones, anomalies, gradients and static features."""
+    static = t.cells.select("h3", (F.col("q") * 10).alias("depth_m"), F.lit(0.0).alias("slope"), F.lit(1.0).alias("dist_coast_m"), (F.col("r") - 57).alias("lat"), (F.col("q") - 64).alias("lon"))
+    env = features.environment(t.env.withColumn("ssh", F.lit(0.7310585786) * F.col("ssh")), grid.lattice_edges(t.cells))  # scaled, so that no mean lies on the edge of rounding
+    return features.feature_grid(env, static).select("h3", "date", *(F.col(c).cast("double") for c in FEATURES))
+
+
 @query("feature_grid", "env cells", f"""WITH {_EDGES}, d AS ({_DAYS}), a AS (SELECT h3, date, {', '.join(_ALL)} FROM d WINDOW w AS (PARTITION BY h3, doy)),
     g AS (SELECT v.h3, v.date, {', '.join(_GRAD.format(c=c) for c in ('sst', 'ssh', 'chl_log'))} FROM d v JOIN e ON v.h3 = e.h3 JOIN d n ON n.h3 = e.neighbor AND n.date = v.date GROUP BY 1, 2),
     s AS (SELECT h3 AS cell, q * 10 AS depth_m, 0 AS slope, 1 AS dist_coast_m, sin(radians(r - 57)) AS lat_sin, cos(radians(r - 57)) AS lat_cos, sin(radians(q - 64)) AS lon_sin, cos(radians(q - 64)) AS lon_cos FROM cells)
     SELECT a.h3, a.date, {', '.join(R(c, c) for c in FEATURES)} FROM a LEFT JOIN g ON a.h3 = g.h3 AND a.date = g.date LEFT JOIN s ON a.h3 = s.cell""", days="date")
 def _(t):
-    """The feature stage with all its columns: derived ones, anomalies, gradients and static features."""
-    static = t.cells.select("h3", (F.col("q") * 10).alias("depth_m"), F.lit(0.0).alias("slope"), F.lit(1.0).alias("dist_coast_m"), (F.col("r") - 57).alias("lat"), (F.col("q") - 64).alias("lon"))
-    env = features.environment(t.env.withColumn("ssh", F.lit(0.7310585786) * F.col("ssh")), grid.lattice_edges(t.cells))  # scaled, so that no mean lies on the edge of rounding
-    return features.feature_grid(env, static).select("h3", "date", *(F.col(c).cast("double") for c in FEATURES))
+    return _feature_grid(t)
+
+
+def _production_rows(t):
+    """(training rows, held-out rows) with all features and a target that follows from some of them."""
+    target = F.log1p(F.greatest(F.col("sst") - 20, F.lit(0.0)) + 100 * F.expm1("chl_log"))
+    own = written(_feature_grid(t).na.drop(subset=list(FEATURES)).withColumn("target", target))
+    own = sampling.hold_out(own, 0.25, sampling.integer_key(F.col("h3") * 10007 + F.datediff("date", F.lit("1990-01-01").cast("date"))), F.col("h3"), F.col("date"))
+    return own.where("NOT is_test"), own.where("is_test")
+
+
+@query("L2_extra_trees")
+def _(t):
+    """The production model at its production size: 300 trees of depth 20 over all features; metrics on held-out rows."""
+    train, test = _production_rows(t)
+    return ag.metrics(trees.predict(test, trees.extra_trees(train, FEATURES, "target"), "p"), "target", "p")
+
+
+@query("L3_histogram_boosting")
+def _(t):
+    """31 leaves, l2 0.1 and a rate of 0.05 over all features; 20 of the 300 rounds."""
+    train, test = _production_rows(t)
+    return ag.metrics(trees.predict(test, trees.histogram_boosting(train, FEATURES, "target", rounds=20), "p"), "target", "p")
+
+
+@query("K7_saved_model")
+def _(t):
+    """Train, save, load with the list of features checked, and score every row with what was loaded."""
+    own = data(t)
+    path = shared_folder(t.spark, "model")
+    saved.save(t.spark, trees.extra_trees(own, _X, "target", trees=10, depth=8), path)
+    return trees.predict(own, saved.load(t.spark, trees.Ensemble, path, _X), "p").select("h3", "date", F.col("p").alias("prediction"))
 
 
 @query("species_training", "presence", "WITH k AS (SELECT DISTINCT c.h3, c.date, s.species FROM presence c JOIN presence s ON c.date = s.date) SELECT k.h3, k.date, k.species, coalesce(presence_count, 0) AS presence_count, CAST(coalesce(presence_count * individual_count, 0) AS DOUBLE) AS residence_index FROM k LEFT JOIN presence p ON k.h3 = p.h3 AND k.date = p.date AND k.species = p.species", days="date")
