@@ -44,11 +44,11 @@ BLOCK_SEGMENTS = 4
 SEGMENTS_A_TASK = 8
 #: States stay in [LOW, 2^32 * LOW) and move by 32 bits.
 LOW = 1 << 31
-#: Parts of texts, and runs of characters, whose ids a worker keeps; it forgets them all when it would have more.
-CACHE = 600_000
+#: Runs of characters whose ids a worker keeps; it forgets them all when it would have more.
+CACHE = 1_200_000
 _RUNS = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0D]+")
 #: Bytes of texts that are encoded at once, but for one text's.
-_TEXTS = 6 << 20
+_TEXTS = 12 << 20
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4"), ("words", "<u4"), ("pieces", "<u4"), ("names", "<u4"), ("crc", "<u4"), ("first_token", "<u8"), ("first_doc", "<u8"), ("first_at", "<u8"), ("open", "u1")])
 
 #: Texts (strings without nulls) -> (the ids of all, how many each has).
@@ -70,7 +70,6 @@ def word_encoder(path: str, cache: int = CACHE) -> Encode:
     lowers = own.encode("ABC xyz", add_special_tokens=False).ids == own.encode("abc xyz", add_special_tokens=False).ids
     special = [t.content.lower().encode() for t in own.get_added_tokens_decoder().values()]
     runs: dict[bytes, bytes] = {}
-    parts: dict[bytes, bytes] = {}
 
     def whole(some: set[bytes]) -> dict[bytes, bytes]:
         found = own.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
@@ -83,6 +82,8 @@ def word_encoder(path: str, cache: int = CACHE) -> Encode:
         if part.isascii():
             if part.isalpha():
                 return [part.lower() if lowers else part]
+            if part[:-1].isalpha():
+                return [part[:-1].lower() if lowers else part[:-1], part[-1:]]
             return _RUNS.findall(part.lower() if lowers else part)
         own_runs = _RUNS.findall(part)
         for run in own_runs:
@@ -90,32 +91,27 @@ def word_encoder(path: str, cache: int = CACHE) -> Encode:
                 return [part]
         return own_runs
 
-    def learn(new: list[bytes]) -> None:
-        every = b" ".join(new).lower()
+    def ids_of(different: list[bytes]) -> list[bytes]:
+        every = b" ".join(different).lower()
         watched = [t for t in special if t in every]
-        rows = [runs_of(part, watched) for part in new]
-        if len(runs) + len(wanted := set().union(*rows)) > cache:
+        rows = [runs_of(part, watched) for part in different]
+        wanted = set().union(*rows)
+        if len(runs) + len(wanted) > cache:
             runs.clear()
         runs.update(whole(wanted.difference(runs)))
-        if len(parts) + len(new) > cache:
-            parts.clear()
-        parts.update((part, b"".join(map(runs.__getitem__, row))) for part, row in zip(new, rows))
+        return [runs[row[0]] if len(row) == 1 else b"".join(map(runs.__getitem__, row)) for row in rows]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts.cast(pa.string()))
         words = split.flatten().dictionary_encode()
         different = words.dictionary.cast(pa.binary()).to_pylist()
-        if len(new := set(different).difference(parts)):
-            if len(parts) + len(new) > cache:  # all of them go, so that none is missing
-                parts.clear()
-                new = set(different)
-            learn(list(new))
-        found = list(map(parts.__getitem__, different))
+        found = ids_of(different)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(width).itemsize
         at, each = words.indices.to_numpy(), np.frombuffer(b"".join(found), width)
+        sizes = sizes.astype(np.int32)
         n = sizes[at]
         ends = np.cumsum(n)
-        ids = each[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        ids = each[np.repeat(((np.cumsum(sizes) - sizes)[at] - (ends - n)).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)]  # a batch's places fit 32 bits
         edges = split.offsets.to_numpy() - split.offsets[0].as_py()
         return ids, np.diff(np.concatenate([[0], ends])[edges])
 
