@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidecube.functions import dates
 from tidecube.queries.registry import N, R, Tables, query
-from tidecube.sources import scan, store
+from tidecube.sources import netcdf, scan, store
 
 _LINE = f"SELECT l_orderkey, l_suppkey, {R('l_quantity', 'l_quantity')}, CAST(l_shipdate AS DATE) AS date, {N('year(l_shipdate)', 'year')} FROM lineitem"
 _COLUMNS = ["l_orderkey", "l_suppkey", "l_quantity", "date", "year"]
@@ -63,6 +63,15 @@ def _(t):
     return scan.raster_rows(t.embeddings, "embedding", ["vec_id"], width=8)
 
 
+@query("S8_netcdf_scan", oracle=f"SELECT vec_id, {N('i - 1', 'pixel')}, {N('(i - 1) // 8', 'lat_idx')}, {N('(i - 1) % 8', 'lon_idx')}, {R('embedding[i]', 'value')} FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id >= 100) WHERE (i - 1) // 8 BETWEEN 2 AND 6 AND (i - 1) % 8 BETWEEN 1 AND 5")
+def _(t):
+    """Embeddings as daily frames in NetCDF files, of which a box and a span of days are read back."""
+    path = store.shared_folder(t.spark, "netcdf")
+    netcdf.write_frames(t.embeddings.withColumnRenamed("vec_id", "day"), path, "embedding", (8, 8))
+    rows = netcdf.scan(t.spark, path, ["embedding"], box=(1, 2, 5, 6), days=("1970-04-11", "9999-12-31"))
+    return rows.select(F.datediff("date", F.lit("1970-01-01")).alias("vec_id"), "pixel", "lat_idx", "lon_idx", F.col("embedding").alias("value"))
+
+
 @query("S9_grid_scan", "cells", f"SELECT h3, {R('q', 'lon')}, {R('r', 'lat')} FROM cells")
 def _(t):
     path = store.shared_folder(t.spark, "grid")
