@@ -63,8 +63,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def up_to(df: DataFrame, order: Sequence[Column], more: DataFrame | None, wanted: Column) -> DataFrame:
-    """df with __in on as many rows as ``wanted`` says, the first in a total order that starts with a number.
+def edge(df: DataFrame, order: Sequence[Column], more: DataFrame | None, wanted: Column) -> tuple[Column, DataFrame]:
+    """The key of a total order that starts with a number, and a table of one row at most with __edge: the key of the last row of those ``wanted``.
 
     ``wanted`` is an expression over ``total`` (the number of rows) and the columns of ``more``, a table of one row. The
     keys are written once and counted by bucket, and only the bucket that holds the last one wanted is ordered.
@@ -76,7 +76,13 @@ def up_to(df: DataFrame, order: Sequence[Column], more: DataFrame | None, wanted
     counts = counts.join(more, F.lit(True)) if more is not None else counts
     hit = counts.withColumn("w", wanted).where((F.col("upto") - F.col("n") < F.col("w")) & (F.col("w") <= F.col("upto"))).select("__b", (F.col("w") - F.col("upto") + F.col("n")).alias("__at"))
     last = placed.join(F.broadcast(hit), "__b").withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy("__k"))).where(F.col("__r") == F.col("__at"))
-    return df.join(F.broadcast(last.select(F.col("__k").alias("__edge"))), F.lit(True), "left").withColumn("__in", F.coalesce(key <= F.col("__edge"), F.lit(False))).drop("__edge")  # one row
+    return key, last.select(F.col("__k").alias("__edge"))
+
+
+def up_to(df: DataFrame, order: Sequence[Column], more: DataFrame | None, wanted: Column) -> DataFrame:
+    """df with __in on as many rows as ``wanted`` says, the first in a total order; see ``edge``."""
+    key, last = edge(df, order, more, wanted)
+    return df.join(F.broadcast(last), F.lit(True), "left").withColumn("__in", F.coalesce(key <= F.col("__edge"), F.lit(False))).drop("__edge")  # one row
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
@@ -126,13 +132,19 @@ def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranks, F.col(column) == F.col("__v")).drop("__v")
 
 
-def first_part(df: DataFrame, date: str, ties: list[str], share: float) -> DataFrame:
-    """df with ``is_first``: whether a row is among the first int(share * n) by date, then ``ties`` (a total order).
+def first_part(df: DataFrame, date: str, ties: Sequence[str | Column], share: float) -> DataFrame:
+    """df with ``is_first``: whether a row is among the first int(share * n) by date (nulls first), then ``ties`` (a total order that starts with a number).
 
-    Days are counted first; rows are ordered within their day only.
+    Days are counted; all but the one in which the part ends are decided by their date, and of that day only the bucket of keys at the end is ordered.
     """
-    days = df.groupBy(date).agg(F.count("*").alias("__n"))
-    before = W.orderBy(date).rowsBetween(W.unboundedPreceding, -1)  # one row a day
-    cut = days.select(date, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), (F.sum("__n").over(W.partitionBy()) * F.lit(share)).cast("long").alias("__cut"))
-    at = F.row_number().over(W.partitionBy(date).orderBy(*ties))
-    return df.withColumn("__at", at).join(cut, date).withColumn("is_first", F.col("__before") + F.col("__at") <= F.col("__cut")).drop("__at", "__before", "__cut")
+    days = df.groupBy(F.col(date).alias("d")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow))  # one row a day
+    held = days.withColumn("upto", upto).withColumn("w", (F.sum("n").over(W.partitionBy()) * F.lit(share)).cast("long"))
+    end = held.where("upto - n < w AND w <= upto").selectExpr("d", "w - upto + n AS k").first()  # one row, none if the part is empty
+    if end is None:
+        return df.withColumn("is_first", F.lit(False))
+    day = F.lit(end.d).cast(df.schema[date].dataType)
+    key, last = edge(df.where(F.col(date).eqNullSafe(day)), [F.col(t) if isinstance(t, str) else t for t in ties], None, F.lit(end.k))
+    earlier = F.lit(False) if end.d is None else F.col(date).isNull() | (F.col(date) < day)
+    within = F.col(date).eqNullSafe(day) & (key <= F.col("__edge"))
+    return df.join(F.broadcast(last), F.lit(True), "left").withColumn("is_first", F.coalesce(earlier, F.lit(False)) | F.coalesce(within, F.lit(False))).drop("__edge")  # one row

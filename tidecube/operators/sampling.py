@@ -145,7 +145,7 @@ def with_parts(df: DataFrame, design: Variant, order: list[Column], ring: DataFr
     elif design.split == "time":
         from tidecube.operators.ordering import first_part
 
-        own = first_part(df, date, [cell], 1 - design.share).withColumn("is_test", ~F.col("is_first")).drop("is_first")
+        own = first_part(df, date, [cell, *order], 1 - design.share).withColumn("is_test", ~F.col("is_first")).drop("is_first")
     elif design.split in ("group", "buffered"):
         own = hold_out_groups(df, design.group, design.share, group_order(F.col(design.group)))
     else:
