@@ -120,8 +120,8 @@ def test_short_masks_meet_every_allowed_substitution():
             assert any(not set(m) & set(wrong) for m in decontaminate.short_masks(n)), (n, wrong)
 
 
-def brute_overlaps(docs, items):
-    """(doc, item) whose tokens agree in 80 % of some 13 places in a row, or of all places of a shorter item of 5 or more."""
+def brute_overlaps(docs, items, least=5):
+    """(doc, item) whose tokens agree in 80 % of some 13 places in a row, or of all places of a shorter item of ``least`` or more."""
     tok = lambda s: re.findall(r"\w+", (s or "").lower())
     out = set()
     for d, text in docs:
@@ -129,7 +129,7 @@ def brute_overlaps(docs, items):
         for i, item in items:
             b = np.array(tok(item), object)
             n = min(13, len(b))
-            if n < 5:
+            if n < least:
                 continue
             for shift in range(-len(b), len(a)):
                 lo, hi = max(0, shift), min(len(a), shift + len(b))
@@ -158,6 +158,22 @@ def test_overlaps_are_those_of_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_overlaps(docs, items)
 
 
+def test_items_of_one_to_four_tokens_match_word_for_word(spark):
+    g = random.Random(12)
+    word = lambda: f"v{g.randrange(25)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 13])]
+    docs = [(k, " ".join(word() for _ in range(g.choice([0, 1, 2, 5, 40, 200])))) for k in range(120)]
+    docs += [(200 + i, t) for i, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(d, b, least_tokens=1).collect()}
+    want, number = brute_overlaps(docs, items, 1), {}
+    for i, t in items:
+        number.setdefault(t, i)  # equal items are one, known by the least id
+    assert got == {(x, number[dict(items)[i]]) for x, i in want}
+    left = {r.doc_id for r in decontaminate.drop_contaminated(d, b, least_tokens=1).collect()}
+    assert left == {x for x, _ in docs} - {x for x, _ in want}
+
+
 def test_overlaps_on_the_tables_are_those_of_brute_force(spark, docs, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 3_000]

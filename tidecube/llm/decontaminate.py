@@ -31,7 +31,7 @@ from tidecube.llm.common import bitmap, lean_arrow, materialize, maybe_broadcast
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
 #: A verified stretch has at least so many tokens (a shorter text: all of it) ...
 MIN_TOKENS = 13
-#: Items with fewer tokens match nothing.
+#: Items with fewer tokens match nothing, unless a call asks for them: one word would meet every text that has it.
 LEAST_TOKENS = 5
 #: ... and this share of them agrees.
 MIN_MATCH = 0.8
@@ -55,8 +55,8 @@ Mask = tuple[tuple[int, ...], int | None]
 
 
 def masks_for(lengths: Iterable[int]) -> list[Mask]:
-    """The masks that items of these lengths need."""
-    own = [(m, n) for n in sorted(set(lengths)) if LEAST_TOKENS <= n < MIN_TOKENS for m in short_masks(n)]
+    """The masks that items of these lengths need; items of under five tokens have one that reads them all."""
+    own = [(m, n) for n in sorted(set(lengths)) if 0 < n < MIN_TOKENS for m in short_masks(n)]
     return [(m, None) for m in MASKS if any(n >= MIN_TOKENS for n in lengths)] + own
 
 
@@ -197,14 +197,15 @@ def _verified(candidates: DataFrame, id_type: T.StructField, item_type: T.Struct
     return candidates.mapInArrow(run, schema)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """A row for each document and different benchmark text that share a verified stretch.
 
     Columns: id, item (the least id that has the text), doc_start and item_start (token positions), n_tokens and n_matched
     (of the stretch), item_tokens (of the whole item), n_items (ids that have the text, by its tokens). The stretch reaches
     from the first to the last MIN_TOKENS places that agree to MIN_MATCH (of a shorter item: all its places); of several
     alignments the one with most agreeing tokens counts, then the earliest. Repeated rows give one row an id and item.
-    Null and empty texts, and items of under LEAST_TOKENS tokens, overlap with nothing. Null document ids are kept as an id
+    Null and empty texts, and items of under ``least_tokens`` tokens, overlap with nothing; items of one to four tokens, where
+    these are asked for, match word for word. Null document ids are kept as an id
     like any other; benchmark items need an id. Empty tables give an empty result; other columns are not read.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -216,7 +217,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["item", "item_tokens"])
 
     read = items.mapInArrow(item_tokens, T.StructType([items.schema[0], T.StructField("item_tokens", T.ArrayType(T.LongType()))]))
-    texts = read.where(F.size("item_tokens") >= LEAST_TOKENS).groupBy("item_tokens").agg(F.min("item").alias("least"), F.count_distinct("item").alias("n_items"))
+    texts = read.where(F.size("item_tokens") >= max(1, least_tokens)).groupBy("item_tokens").agg(F.min("item").alias("least"), F.count_distinct("item").alias("n_items"))
     # A text is known by a number of its own: one id may have several texts, and several ids one.
     whole = materialize(texts.select(F.monotonically_increasing_id().alias("item"), "item_tokens", "least", "n_items"), "items")
     lengths = [r[0] for r in whole.select(F.least(F.size("item_tokens"), F.lit(MIN_TOKENS))).distinct().collect()]  # at most one row a length up to MIN_TOKENS
@@ -233,12 +234,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return per.select(F.col("id").alias(id_col), F.col("least").alias(item_col), "b.*", "n_items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with all their columns that overlap with no benchmark item.
 
     Rows are known by id and text hash, so that null or repeated ids with other texts are judged on their own.
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    bad = overlaps(docs.select(key.alias("__key"), text_col), benchmark, "__key", text_col, **names).select(F.col("__key.id").alias("__id"), F.col("__key.h").alias("__h")).distinct()
+    bad = overlaps(docs.select(key.alias("__key"), text_col), benchmark, "__key", text_col, **options).select(F.col("__key.id").alias("__id"), F.col("__key.h").alias("__h")).distinct()
     bad = maybe_broadcast(materialize(bad, "contaminated"))
     return docs.withColumn("__h2", F.xxhash64(text_col)).join(bad, (F.col("__h2") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").drop("__h2")
