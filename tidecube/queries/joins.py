@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidecube.operators import grid, joins, spatial
+from tidecube.operators import geodesic, grid, joins, spatial
 from tidecube.operators.ordering import top_one
 from tidecube.queries.registry import N, R, query
 
@@ -155,6 +155,31 @@ def _(t):
     return t.cells.select("h3", grid.id_from_hex(F.hex(F.col("h3") + 599686042433355775)).alias("id"))
 
 
+@query("G1_cells_of_places")
+def _(t):
+    """Events by hexagon of the globe, with the hexagon's centre and its parent."""
+    at = t.events.select((F.col("event_id") * 7919 % 180_001 / 1000.0 - 90).alias("lat"), (F.col("event_id") * 104_729 % 360_000 / 1000.0 - 180).alias("lon"))
+    n = geodesic.with_cell(at, "lat", "lon", 6).groupBy("cell").agg(F.count("*").alias("n"))
+    return geodesic.with_parent(geodesic.with_centre(n))
+
+
+@query("G1_polygon_cells")
+def _(t):
+    """The hexagons whose centres lie in each supplier's polygon, a star with a hole."""
+    x, y = F.col("s_suppkey") * 37 % 300 - 150, F.col("s_suppkey") * 53 % 120 - 60
+    corner = lambda k, r: F.struct((x + r * F.cos(k * F.lit(0.6283185307179586))).alias("lon"), (y + r * F.sin(k * F.lit(0.6283185307179586))).alias("lat"))
+    star = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: corner(k, F.when(k % 2 == 0, 9.5).otherwise(4.5)))
+    hole = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: corner(k, F.lit(2.5)))
+    return geodesic.fill(t.supplier.select(F.col("s_suppkey").alias("polygon"), F.array(star, hole).alias("rings")), 6)
+
+
+@query("G1_boundaries")
+def _(t):
+    """The corners of the hexagons that hold events."""
+    at = t.events.select((F.col("event_id") * 7919 % 180_001 / 1000.0 - 90).alias("lat"), (F.col("event_id") * 104_729 % 360_000 / 1000.0 - 180).alias("lon"))
+    return geodesic.boundary(geodesic.with_cell(at, "lat", "lon", 4).select("cell").distinct())
+
+
 @query("G3_wide_neighbors", "cells", f"WITH {_EDGES}, l AS (SELECT h3, list_sort(list(neighbor)) AS n FROM e GROUP BY 1) SELECT cells.h3, n[1] AS n1, n[2] AS n2, n[3] AS n3, n[4] AS n4, n[5] AS n5, n[6] AS n6 FROM cells LEFT JOIN l ON cells.h3 = l.h3")
 def _(t):
     return grid.wide_neighbors(grid.lattice_edges(t.cells), t.cells)
