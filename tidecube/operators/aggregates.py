@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecube.functions import dates
 from tidecube.functions.stats import count_where, map_stat, normalised_entropy, positive, regression_metrics
-from tidecube.operators.ordering import average_rank, quantiles, share_of_total, up_to
+from tidecube.operators.ordering import average_rank, quantiles, share_of_total, up_to, with_quantiles
 
 
 def effort_by(df: DataFrame, keys: Sequence[str], hours: str = "hours", vessel: str = "vessel_id") -> DataFrame:
@@ -52,6 +52,10 @@ def support(df: DataFrame, target: str, keys: Sequence[str] = ("species", "h3"))
 def map_aggregate(df: DataFrame, value: str, how: str, keys: Sequence[str] = ("h3",), positive_only: bool = False) -> DataFrame:
     """One value for each cell; ``positive_only`` drops the rows first, so that cells without positive values vanish."""
     own = df.where(F.col(value) > 0) if positive_only else df
+    kind, _, stat = how.rpartition("_")
+    if stat == "median":
+        out = with_quantiles(own, keys, [], {"value": (positive(F.col(value)) if kind else F.col(value), 0.5)})
+        return out.na.fill(0.0, ["value"]) if kind == "non_zero" else out
     return own.groupBy(*keys).agg(map_stat(F.col(value), how).alias("value"))
 
 
@@ -93,7 +97,8 @@ def class_balance(df: DataFrame, cls: str, keys: Sequence[str]) -> DataFrame:
 
 def observed_use(df: DataFrame, value: str, keys: Sequence[str] = ("species", "seascape")) -> DataFrame:
     """Rows, sum, mean, median of the positive values for each kind and class, and the class's percentage of its kind's sum."""
-    use = df.where(F.col(value) > 0).groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(value).alias("use_sum"), F.avg(value).alias("use_mean"), F.median(value).alias("use_median"))
+    aggs = [F.count("*").alias("rows"), F.sum(value).alias("use_sum"), F.avg(value).alias("use_mean")]
+    use = with_quantiles(df.where(F.col(value) > 0), keys, aggs, {"use_median": (F.col(value), 0.5)})
     return share_of_total(use, "use_sum", [keys[0]], "use_percent", 100.0)
 
 
@@ -101,10 +106,8 @@ def predicted_use(df: DataFrame, log_value: str, keys: Sequence[str] = ("species
     """Means and medians of log and raw predictions, the median of the positive ones and their share."""
     v = F.col(log_value)
     raw = F.greatest(F.expm1(v), F.lit(0.0))
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.avg(v).alias("log_mean"), F.median(v).alias("log_median"), F.avg(raw).alias("raw_mean"), F.median(raw).alias("raw_median"),
-        F.median(positive(v)).alias("positive_median"), F.avg(F.when(v > 0, 1.0).otherwise(0.0)).alias("positive_fraction"),
-    )
+    aggs = [F.count("*").alias("rows"), F.avg(v).alias("log_mean"), F.avg(raw).alias("raw_mean"), F.avg(F.when(v > 0, 1.0).otherwise(0.0)).alias("positive_fraction")]
+    return with_quantiles(df, keys, aggs, {"log_median": (v, 0.5), "raw_median": (raw, 0.5), "positive_median": (positive(v), 0.5)})
 
 
 def dominant_share(df: DataFrame, cls: str, weight: str, probability: str, keys: Sequence[str] = ("h3",), exclude_zero: bool = False) -> DataFrame:
@@ -260,7 +263,8 @@ def totals(df: DataFrame, value: str, keys: Sequence[str], **wanted: object) ->
 
 def week_ranking(df: DataFrame, value: str, keys: Sequence[str], cell: str = "h3", quantile: float = 0.9) -> DataFrame:
     """Cells, mean, quantile, maximum and sum of each key, the highest quantile first."""
-    out = df.groupBy(*keys).agg(F.count_distinct(cell).alias("cells"), F.avg(value).alias("value_mean"), F.percentile(value, quantile).alias("value_q"), F.max(value).alias("value_max"), F.sum(value).alias("value_sum"))
+    aggs = [F.count_distinct(cell).alias("cells"), F.avg(value).alias("value_mean"), F.max(value).alias("value_max"), F.sum(value).alias("value_sum")]
+    out = with_quantiles(df, keys, aggs, {"value_q": (F.col(value), quantile)})
     return out.orderBy(F.desc("value_q"), *keys)
 
 

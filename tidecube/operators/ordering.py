@@ -125,6 +125,49 @@ def quantiles(df: DataFrame, value: Column, qs: Sequence[float]) -> DataFrame:
     return spark.createDataFrame([(found,)], "__q array<double>")
 
 
+#: A group's quantile is looked for among values whose share of smaller ones is within this of it ...
+BRACKET = 1e-3
+#: ... by a sketch whose ranks are right to one part in so many, a tenth of that.
+ACCURACY = 10_000
+
+
+def with_quantiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row a key: ``aggs`` and exact quantiles by name, of (number, share), with linear interpolation; null for groups without values.
+
+    The first aggregate has a sketch of bounded size for each quantile beside ``aggs``, which brackets it. Then smaller values
+    are counted, and only those in the bracket, counted by value, are ordered: about 2 * BRACKET of a group's (of one of at most
+    ACCURACY values, all), sorted on disk if need be, where Spark's exact percentile holds all different values of a group in one task's memory. A bracket that
+    misses its quantile is an error. Null keys are a group like any other. ``df`` is read twice and has to give the same rows.
+    """
+    names, group = list(wanted), F.struct(*(F.col(k) for k in keys))
+    numbers, shares = [v.cast("double") for v, _ in wanted.values()], [float(q) for _, q in wanted.values()]
+    ends = [(max(0.0, q - BRACKET), min(1.0, q + BRACKET)) for q in shares]
+    sketches = [F.percentile_approx(v, list(e), ACCURACY).alias(f"__c{i}") for i, (v, e) in enumerate(zip(numbers, ends))]
+    base = df.groupBy(*keys).agg(*aggs, *sketches, *(F.count(v).alias(f"__n{i}") for i, v in enumerate(numbers))).withColumn("__g", group)
+    wide = [F.col(f"__n{i}") > ACCURACY for i in range(len(names))]  # of fewer values a bracket may be less than one rank wide: all are ordered
+    lows = F.array(*(F.when(o, F.col(f"__c{i}")[0]) if e[0] > 0 else F.lit(None).cast("double") for i, (e, o) in enumerate(zip(ends, wide))))
+    highs = F.array(*(F.when(o, F.col(f"__c{i}")[1]) if e[1] < 1 else F.lit(None).cast("double") for i, (e, o) in enumerate(zip(ends, wide))))
+    cuts = base.select("__g", lows.alias("lows"), highs.alias("highs"))
+    long = df.select(group.alias("__g"), F.posexplode(F.array(*numbers)).alias("m", "v")).where("v is not null")
+    met = long.join(cuts, "__g").selectExpr("__g", "m", "v", "coalesce(v < lows[m], false) AS below", "coalesce(v <= highs[m], true) AS within")
+    counts = met.where("below or within").groupBy("__g", "m", "below", F.expr("CASE WHEN NOT below THEN v END").alias("v")).agg(F.count("*").alias("n"))
+    order = W.partitionBy("__g", "m").orderBy(F.desc("below"), "v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = counts.withColumn("upto", F.sum("n").over(order)).where("not below").join(base.select("__g", *(f"__n{i}" for i in range(len(names)))), "__g")
+
+    def at(i: int, rank: Column) -> Column:
+        return F.max(F.when((F.col("m") == i) & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+
+    place = [(F.col(f"__n{i}") - 1) * F.lit(q) for i, q in enumerate(shares)]
+    found = upto.groupBy("__g").agg(*(x for i, p in enumerate(place) for x in (at(i, F.floor(p)).alias(f"__l{i}"), at(i, F.ceil(p)).alias(f"__h{i}"))))
+    out = base.join(found, "__g", "left")
+    for i, (name, p) in enumerate(zip(names, place)):
+        lo, hi, part = F.col(f"__l{i}"), F.col(f"__h{i}"), p - F.floor(p)
+        missed = lo.isNull() | hi.isNull()
+        value = F.when(missed, F.raise_error(F.lit(f"no rank of {name} in its bracket")).cast("double")).when(lo == hi, lo).otherwise((1 - part) * lo + part * hi)
+        out = out.withColumn(name, F.when(F.col(f"__n{i}") > 0, value))
+    return out.select(*(c for c in out.columns if not c.startswith("__")))
+
+
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the rank of a numeric column from 1, ties sharing the mean of their places. Values are counted before they are ordered."""
     counts = df.groupBy(column).agg(F.count("*").alias("__n"))
