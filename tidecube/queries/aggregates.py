@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from tidecube.operators import aggregates as ag
 from tidecube.operators import grid, ordering, spatial
+from tidecube.plans.climatology import Climatology
 from tidecube.queries.joins import _EDGES
 from tidecube.queries.registry import N, R, query
 from tidecube.queries.scalars import _DOY
 from tidecube.sources.scan import raster_rows
+from tidecube.sources.store import shared_folder
 
 _RASTER = "v AS (SELECT vec_id AS lat_idx, i - 1 AS lon_idx, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))"
 
@@ -57,6 +59,18 @@ def _(t):
     return ag.anomalies(t.env.select("h3", "date", "sst", "chl"), ["sst", "chl"]).select("h3", "date", "sst_anom", "chl_anom")
 
 
+@query("A7_anomaly_kept_up", "env", f"WITH d AS (SELECT *, {_DOY} AS doy FROM env) SELECT h3, date, {R('sst - avg(sst) OVER w', 'sst_anom')}, {R('chl - avg(chl) OVER w', 'chl_anom')} FROM d WINDOW w AS (PARTITION BY h3, doy)", days="date")
+def _(t):
+    """A7 from means that are kept up: the first years, the later ones beside them, then the last one once more as a correction."""
+    env = t.env.select("h3", "date", "sst", "chl")
+    lo, hi = env.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+    held = Climatology(t.spark, shared_folder(t.spark, "climatology"), ["sst", "chl"])
+    held.add(env, range(lo, (lo + hi) // 2 + 1))
+    held.add(env, range(lo, hi + 1))
+    held.add(env, [hi], correct=True)
+    return held.anomalies(env).select("h3", "date", "sst_anom", "chl_anom")
+
+
 @query("A8_neighbor_gradient", "env cells", f"WITH {_EDGES}, g AS (SELECT v.h3, v.date, sqrt(avg(power(v.sst - n.sst, 2))) AS g FROM env v JOIN e ON v.h3 = e.h3 JOIN env n ON n.h3 = e.neighbor AND n.date = v.date GROUP BY 1, 2) SELECT env.h3, env.date, {R('g', 'sst_grad')} FROM env LEFT JOIN g ON env.h3 = g.h3 AND env.date = g.date", days="date")
 def _(t):
     return grid.neighbor_gradient(t.env.select("h3", "date", "sst"), grid.lattice_edges(t.cells), ["sst"])
