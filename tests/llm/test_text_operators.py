@@ -697,3 +697,38 @@ def test_pipeline_stage_by_stage(spark, small, docs):
     was, kept, _ = seen["sharding"]
     n = pd.Series([r.shard for r in kept]).value_counts().reindex(range(40), fill_value=0)
     assert len(kept) == len(was) and n.max() - n.min() <= 1 and len({(r.shard, r.slot) for r in kept}) == len(kept)
+
+
+def test_language_model_learns_from_every_training_text(spark, monkeypatch):
+    """One more text, whichever it is, changes the weights; all windows are learned from, and every word of every text decides the share."""
+    rows = [(k, f"alpha beta {'gamma ' * (k % 3)}w{k}") for k in range(4)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    seen = []
+    monkeypatch.setattr(attention_lm, "_share", lambda ratios: seen.append(int(ratios.sum())) or 0.5)
+
+    def weights(part, known=None):
+        counts = attention_lm.word_counts(part.select("text")).cache()
+        own = counts.toPandas()
+        n = int(own.c.sum())
+        held = {w: float(np.log10(c + 0.1)) for w, c in zip(own.word, own.c)} if known is None else known
+        found = attention_lm.fit(part, counts, {bytes(w): v for w, v in held.items()}, float(np.log10(n + 0.1 * (len(own) + 1))))
+        assert seen[-1] == n  # every word and end
+        return found.weights
+
+    whole = weights(df)
+    again = weights(df.repartition(5), known={})
+    assert all((whole[k] == again[k]).all() for k in whole)
+    # Under the same counts, so that only the gradients can tell: a text in another order of its words.
+    for k in range(4):
+        turned = df.withColumn("text", F.when(F.col("id") == k, F.concat(F.lit(f"w{k} "), F.regexp_replace("text", " *w[0-9]+$", ""))).otherwise(F.col("text")))
+        assert any((whole[n] != v).any() for n, v in weights(turned).items()), k
+
+
+def test_share_of_the_frequencies():
+    g = np.random.default_rng(5)
+    f, p = g.normal(-9, 2, 500), g.normal(-9, 2, 500)
+    ratios = attention_lm._ratios(f, p)
+    assert ratios.sum() == 500
+    best = max(attention_lm.MIXTURES, key=lambda w: np.logaddexp(np.log(w) + f, np.log(1 - w) + p).sum())
+    assert abs(attention_lm._share(ratios) - best) < 0.021
+    assert attention_lm._share(np.zeros_like(ratios)) == 0.5
