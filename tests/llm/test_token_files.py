@@ -115,3 +115,25 @@ def test_stored_under_names_that_are_committed(spark):
     (Path(folder.removeprefix("file:")) / "part-000000-000000-lost.rans").write_bytes(b"half of")
     assert [g[0] for g in back(spark, folder)] == [1]
     assert spark.read.parquet(f"{folder}/files").select(F.count("*")).first()[0] == 1
+
+
+def test_runs_of_letters_go_through_the_library_by_lines(library, monkeypatch):
+    """Few calls for many words, and the library's ids whatever a line's words are."""
+    texts, calls = [" ".join(f"Wo{chr(97 + k % 26)}rd{'x' * (k % 40)}" for k in range(3_000)), *ODD], []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, batch, **options):
+            calls.append(len(batch))
+            return self.own.encode_batch_fast(batch, **options)
+
+    own = Tokenizer.from_file(VOCABULARY)
+    monkeypatch.setattr("tokenizers.Tokenizer.from_file", lambda path: Counted(own), raising=False)
+    ids, n = token_files.word_encoder(VOCABULARY)(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library(t) for t in texts]
+    assert sum(calls) < 300  # inputs to the library; the words are 1,040 and more

@@ -47,6 +47,8 @@ LOW = 1 << 31
 #: Runs of characters whose ids a worker keeps; it forgets them all when it would have more.
 CACHE = 1_200_000
 _RUNS = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0D]+")
+#: Runs of letters that go through the tokenizer as one line.
+_LINE = 500
 #: Bytes of texts that are encoded at once, but for one text's.
 _TEXTS = 12 << 20
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4"), ("words", "<u4"), ("pieces", "<u4"), ("names", "<u4"), ("crc", "<u4"), ("first_token", "<u8"), ("first_doc", "<u8"), ("first_at", "<u8"), ("open", "u1")])
@@ -71,9 +73,30 @@ def word_encoder(path: str, cache: int = CACHE) -> Encode:
     special = [t.content.lower().encode() for t in own.get_added_tokens_decoder().values()]
     runs: dict[bytes, bytes] = {}
 
+    suffix = getattr(own.model, "end_of_word_suffix", None)
+    last = np.zeros(own.get_vocab_size(), bool)  # of each id, whether a word ends with it
+    if suffix:
+        last[[i for t, i in own.get_vocab().items() if t.endswith(suffix)]] = True
+
     def whole(some: set[bytes]) -> dict[bytes, bytes]:
-        found = own.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-        return {x: np.array(e.ids, width).tobytes() for x, e in zip(some, found)}
+        plain = [x for x in some if x.isalpha()] if suffix else []
+        out = in_lines(plain)
+        rest = [x for x in some if x not in out]
+        found = own.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False)
+        out.update((x, np.array(e.ids, width).tobytes()) for x, e in zip(rest, found))
+        return out
+
+    def in_lines(plain: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of runs of ASCII letters from lines of them, cut where words end; of no run of a line that has another number of ends."""
+        out: dict[bytes, bytes] = {}
+        lines = [plain[i : i + _LINE] for i in range(0, len(plain), _LINE)]
+        for line, e in zip(lines, own.encode_batch_fast([b" ".join(line).decode() for line in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, width)
+            ends = ((np.flatnonzero(last[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) == len(line) and ends[-1] == ids.nbytes:
+                flat = ids.tobytes()
+                out.update(zip(line, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        return out
 
     def runs_of(part: bytes, watched: list[bytes]) -> list[bytes]:
         """The runs of a part whose ends are ends for the tokenizer too; else the part."""
@@ -94,7 +117,10 @@ def word_encoder(path: str, cache: int = CACHE) -> Encode:
     def ids_of(different: list[bytes]) -> list[bytes]:
         every = b" ".join(different).lower()
         watched = [t for t in special if t in every]
-        rows = [runs_of(part, watched) for part in different]
+        if lowers and not watched:  # parts that are one run of letters are lowered all at once
+            rows = [[low] if low.isalpha() else runs_of(part, watched) for part, low in zip(different, every.split(b" "))]
+        else:
+            rows = [runs_of(part, watched) for part in different]
         wanted = set().union(*rows)
         if len(runs) + len(wanted) > cache:
             runs.clear()
