@@ -732,3 +732,25 @@ def test_share_of_the_frequencies():
     best = max(attention_lm.MIXTURES, key=lambda w: np.logaddexp(np.log(w) + f, np.log(1 - w) + p).sum())
     assert abs(attention_lm._share(ratios) - best) < 0.021
     assert attention_lm._share(np.zeros_like(ratios)) == 0.5
+
+
+def test_language_model_gives_words_their_classes_share(spark):
+    """A word is one place of the layer; the words after any context, with one unknown a class, have probabilities that add up to 1, and scores are sums of them, whoever holds the counts."""
+    rows = [(k, f"alpha beta{k % 3} {'gamma don’t ' * (k % 4)}höher w{k}, alpha x") for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    texts = [[w.encode() for w in t.split(" ")] + [b""] for _, t in rows]
+    c = pd.Series([w for t in texts for w in t]).value_counts()
+    floor = np.log10(c.sum() + 0.1 * (len(c) + 1))
+    lm = attention_lm.fit(df, attention_lm.word_counts(df.select("text")), {}, float(floor)).packed()
+    slots = attention_lm._Slots(lm.rank, lm.vocabulary, {})
+    f = lambda w: (c.get(w, 0) + 0.1) / 10**floor
+    ratios = lambda ranks: attention_lm._by_word(lm, ranks, np.ones(len(ranks), np.int64), np.array([len(ranks)]))
+    context = slots.first([b"alpha", b"beta1"])
+    after = lambda r: np.exp(ratios(np.append(context, np.uint16(r)))[-1])
+    total = sum(f(w) * after(r) for w, r in zip(c.index, slots.first(list(c.index)).tolist()))
+    assert abs(total + sum(0.1 / 10**floor * after(r) for r in range(attention_lm.RARE + 1)) - 1) < 1e-3
+    for heavy in (2, 1000):
+        got = {r.doc_id: r.score for r in attention_lm.score(df.withColumnRenamed("id", "doc_id"), F.lit(False), heavy=heavy).collect()}
+        for (k, _), t in zip(rows, texts):
+            want = sum(np.log10(f(w)) + np.log10(lm.mixed + (1 - lm.mixed) * np.exp(x)) for w, x in zip(t, ratios(slots.first(t))))
+            assert np.isclose(got[k], want, rtol=1e-5), k
