@@ -1,5 +1,7 @@
 """Token files: exact round trips, damage, segments and ids of every kind."""
 
+import itertools
+import sys
 import zlib
 from pathlib import Path
 
@@ -137,3 +139,18 @@ def test_runs_of_letters_go_through_the_library_by_lines(library, monkeypatch):
     ids, n = token_files.word_encoder(VOCABULARY)(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library(t) for t in texts]
     assert sum(calls) < 300  # inputs to the library; the words are 1,040 and more
+
+
+def test_parts_are_cut_into_runs_all_at_once(library):
+    """No Python call for each different part, and the library's ids whatever the parts hold."""
+    tails = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product(".,;!", repeat=n)]
+    texts = [" ".join(f"Word{chr(97 + k % 26)}{t}{'End' * (k % 2)}" for k in range(40) for t in tails), *ODD]
+    texts += [" ".join(x) for x in itertools.product(["don't", "Straße,", "Ärger-Über", "“Quoted”", "ábc", "</s>x", "日本.", "12abé"], repeat=3)]
+    encode, calls = token_files.word_encoder(VOCABULARY), []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "call" else None)
+    try:
+        ids, n = encode(pa.array(texts))
+    finally:
+        sys.setprofile(None)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library(t) for t in texts]
+    assert len(calls) < 2_000  # the different parts are over 8,000

@@ -17,7 +17,6 @@ executor or a second attempt leaves is not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -46,7 +45,10 @@ SEGMENTS_A_TASK = 8
 LOW = 1 << 31
 #: Runs of characters whose ids a worker keeps; it forgets them all when it would have more.
 CACHE = 1_200_000
-_RUNS = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0D]+")
+_BYTES = np.arange(256, dtype=np.uint8)
+#: Of each byte, whether it is of a run of letters (or beyond ASCII), and its lower case.
+_LETTERS = (_BYTES >= 0x80) | (_BYTES | 32 >= ord("a")) & (_BYTES | 32 <= ord("z"))
+_LOWER = np.where((_BYTES >= ord("A")) & (_BYTES <= ord("Z")), _BYTES | 32, _BYTES)
 #: Runs of letters that go through the tokenizer as one line.
 _LINE = 500
 #: Bytes of texts that are encoded at once, but for one text's.
@@ -78,7 +80,7 @@ def word_encoder(path: str, cache: int = CACHE) -> Encode:
     if suffix:
         last[[i for t, i in own.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def whole(some: set[bytes]) -> dict[bytes, bytes]:
+    def whole(some: list[bytes]) -> dict[bytes, bytes]:
         plain = [x for x in some if x.isalpha()] if suffix else []
         out = in_lines(plain)
         rest = [x for x in some if x not in out]
@@ -98,48 +100,72 @@ def word_encoder(path: str, cache: int = CACHE) -> Encode:
                 out.update(zip(line, [flat[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
-    def runs_of(part: bytes, watched: list[bytes]) -> list[bytes]:
-        """The runs of a part whose ends are ends for the tokenizer too; else the part."""
-        if b"'" in part or watched and any(t in part.lower() for t in watched):
-            return [part]
-        if part.isascii():
-            if part.isalpha():
-                return [part.lower() if lowers else part]
-            if part[:-1].isalpha():
-                return [part[:-1].lower() if lowers else part[:-1], part[-1:]]
-            return _RUNS.findall(part.lower() if lowers else part)
-        own_runs = _RUNS.findall(part)
-        for run in own_runs:
-            if not run.isascii() and not ((text := run.decode("utf-8", "replace"))[0].isalpha() and text[-1].isalpha()):
-                return [part]
-        return own_runs
-
-    def ids_of(different: list[bytes]) -> list[bytes]:
-        every = b" ".join(different).lower()
-        watched = [t for t in special if t in every]
-        if lowers and not watched:  # parts that are one run of letters are lowered all at once
-            rows = [[low] if low.isalpha() else runs_of(part, watched) for part, low in zip(different, every.split(b" "))]
-        else:
-            rows = [runs_of(part, watched) for part in different]
-        wanted = set().union(*rows)
-        if len(runs) + len(wanted) > cache:
+    def runs_of(parts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """(the runs of all parts one after the other, the part of each): runs whose ends are ends for the tokenizer too; else the part is one run."""
+        n = len(parts)
+        offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + n + 1]
+        data = np.frombuffer(parts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        sizes, starts = np.diff(offsets), offsets[:-1] - offsets[0]
+        part, raw, beyond = np.repeat(np.arange(n, dtype=np.int32), sizes), data.tobytes(), data >= 0x80
+        one, plain = np.zeros(n, bool), np.ones(n, bool)
+        one[part[data == ord("'")]] = True
+        plain[part[beyond]] = False
+        every = raw.lower()
+        for t in special:
+            at = every.find(t)
+            while at >= 0:
+                if part[at] == part[at + len(t) - 1]:
+                    one[part[at]] = True
+                at = every.find(t, at + 1)
+        letters = _LETTERS[data]
+        begins = np.append(True, letters[1:] != letters[:-1])
+        begins[starts[sizes > 0]] = True
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(data)) - 1
+        for k in np.flatnonzero(beyond[first] | beyond[last]).tolist():
+            text = raw[first[k] : last[k] + 1].decode("utf-8", "replace")
+            if not (text[0].isalpha() and text[-1].isalpha()):
+                one[part[first[k]]] = True
+        begins &= ~one[part]
+        begins[starts[sizes > 0]] = True
+        if lowers:
+            data = np.where((plain & ~one)[part], _LOWER[data], data)
+        first = np.flatnonzero(begins)
+        ends = np.append(first, len(data)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return runs.dictionary_encode(), part[first]
+
+    def ids_of(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, how many each has)."""
+        if not pc.sum(pc.binary_length(parts)).as_py():
+            return np.zeros(0, width), np.zeros(len(parts), np.int32)
+        own, part = runs_of(parts)
+        ends, data = np.frombuffer(own.dictionary.buffers()[1], np.int32)[: len(own.dictionary) + 1].tolist(), own.dictionary.buffers()[2].to_pybytes()
+        different = [data[a:b] for a, b in zip(ends, ends[1:])]
+        if len(runs) + len(different) > cache:
             runs.clear()
-        runs.update(whole(wanted.difference(runs)))
-        return [runs[row[0]] if len(row) == 1 else b"".join(map(runs.__getitem__, row)) for row in rows]
+        found = list(map(runs.get, different))
+        if new := [x for x, ids in zip(different, found) if ids is None]:
+            runs.update(whole(new))
+            found = [runs[x] if ids is None else ids for x, ids in zip(different, found)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // np.dtype(width).itemsize
+        at = own.indices.to_numpy()
+        return gathered(np.frombuffer(b"".join(found), width), sizes, at), np.bincount(part, sizes[at], len(parts)).astype(np.int32)
+
+    def gathered(each: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The pieces of ``each``, of these sizes, in the order of their numbers ``at``; a batch's places fit 32 bits."""
+        n = sizes[at]
+        shift = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n)
+        return each[np.repeat(shift.astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)]
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts.cast(pa.string()))
         words = split.flatten().dictionary_encode()
-        different = words.dictionary.cast(pa.binary()).to_pylist()
-        found = ids_of(different)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(width).itemsize
-        at, each = words.indices.to_numpy(), np.frombuffer(b"".join(found), width)
-        sizes = sizes.astype(np.int32)
-        n = sizes[at]
-        ends = np.cumsum(n)
-        ids = each[np.repeat(((np.cumsum(sizes) - sizes)[at] - (ends - n)).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)]  # a batch's places fit 32 bits
+        each, sizes = ids_of(words.dictionary.cast(pa.binary()))
+        at = words.indices.to_numpy()
+        ends = np.cumsum(sizes[at])
         edges = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return ids, np.diff(np.concatenate([[0], ends])[edges])
+        return gathered(each, sizes, at), np.diff(np.concatenate([[0], ends])[edges])
 
     return encode
 
