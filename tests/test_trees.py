@@ -171,3 +171,12 @@ def test_loaded_model_scores_as_the_fitted_one(spark, small):
 def test_models_on_all_features(spark, small, name, least):
     (got,) = QUERIES[name](spark, small).collect()
     assert got["r2"] > least and got["n"] > 0
+
+
+def test_boosting_reads_blocks_of_columns(data, monkeypatch):
+    written, kept = [], trees._kept
+    monkeypatch.setattr(trees, "_kept", lambda df: written.append(kept(df)) or written[-1])
+    trees.histogram_boosting(data[1], X, "y", rounds=1, leaves=3)
+    blocks = written[0].collect()
+    assert sum(len(r.y) // 8 for r in blocks) == data[1].na.drop().count() > 100 * len(blocks)
+    assert all(len(r.b) == 3 * len(r.y) // 8 and not r.w for r in blocks)
