@@ -177,3 +177,33 @@ def test_designs_modes_and_kinds_that_are_not_there(spark):
     rows = spark.createDataFrame([("A", 1.0, 2.0)], "species string, x double, y double")
     with pytest.raises(ValueError, match="no training rows"):
         models.train_kinds(rows, rows, ["x"], "y", "species", ["N"], None)
+
+
+EFFORT = ["A27_effort_by_month", "P25_labels", "A4_effort", "U2_distinct", "A26_effort_by_cell", "H9_prediction_modes", "J11_three_way"]
+
+
+@pytest.mark.parametrize("name", EFFORT)
+def test_orders_meet_their_supplier_by_an_equal_key(spark, small, name):
+    """A key of both sides' columns made every order meet every supplier; now only one-row sides meet without a key."""
+    from tidecube.queries import QUERIES
+
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join" in line]
+    assert not [line for line in joined if "%" in line and "s_suppkey" in line]
+    assert any("(cell" in line and "= s_suppkey" in line for line in joined)
+
+
+def test_effort_is_that_of_the_shared_text(spark, tmp_path):
+    """Null and negative customers, suppliers that are missing or come twice, and no supplier at all."""
+    from tidecube.queries.registry import VIEWS, Tables
+
+    orders = spark.createDataFrame([(1, None), (2, -7), (3, 0), (4, 5), (5, 6), (6, 11)], "o_orderkey long, o_custkey long").selectExpr("*", "DATE'2024-01-01' AS o_orderdate", "'a' AS o_orderpriority", "'F' AS o_orderstatus", "1e4 * o_orderkey AS o_totalprice")
+    for n, keys in enumerate(([0, 1, 1, 3, -2], [])):
+        orders.write.parquet(f"{tmp_path}/{n}/orders.parquet")
+        supplier = spark.createDataFrame([(k,) for k in keys], "s_suppkey long")
+        supplier.write.parquet(f"{tmp_path}/{n}/supplier.parquet")
+        text = VIEWS["effort"].replace("FROM orders", "FROM {orders}").replace("FROM supplier", "FROM {supplier}")
+        want = spark.sql(text, orders=orders, supplier=supplier)
+        got = Tables(spark, f"{tmp_path}/{n}").effort
+        assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema] and got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+        assert bool(keys) == bool(got.count())
