@@ -207,3 +207,13 @@ def test_effort_is_that_of_the_shared_text(spark, tmp_path):
         got = Tables(spark, f"{tmp_path}/{n}").effort
         assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema] and got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
         assert bool(keys) == bool(got.count())
+
+
+def test_folds_of_many_groups_are_the_greedy_ones(spark):
+    """Over 10,000 groups, which were an error; the folds are those of the plain rule."""
+    kinds = ["A", "B"]
+    df = spark.range(30_000).selectExpr("id * id % 12007 AS g", "CASE WHEN id % 3 = 0 THEN 'A' ELSE 'B' END AS kind", "id % 5 AS v").union(spark.sql("SELECT id % 10500 AS g, 'A' AS kind, 1L AS v FROM range(10500)")).union(spark.sql("SELECT NULL, 'A', 1L"))
+    got = sampling.with_folds(df, "g", "kind", F.col("v") > 1, kinds, 5)
+    table = [r.asDict() for r in sampling.group_support(df.where("g is not null"), "g", "kind", F.col("v") > 1, kinds).withColumnRenamed("g", "group").collect()]
+    assert len(table) > 10_000 and got.count() == 40_500
+    assert dict(got.select("g", "fold").distinct().collect()) == sampling.fold_assignment(table, kinds, 5)
