@@ -217,3 +217,14 @@ def test_folds_of_many_groups_are_the_greedy_ones(spark):
     table = [r.asDict() for r in sampling.group_support(df.where("g is not null"), "g", "kind", F.col("v") > 1, kinds).withColumnRenamed("g", "group").collect()]
     assert len(table) > 10_000 and got.count() == 40_500
     assert dict(got.select("g", "fold").distinct().collect()) == sampling.fold_assignment(table, kinds, 5)
+
+
+def test_grid_rollup_keeps_cells_that_are_no_supplier(spark, tmp_path):
+    """Its SQL reads no supplier: items of a missing one, of one that is there twice, and of none at all count once."""
+    from tidecube.queries import QUERIES
+
+    items = spark.createDataFrame([(7, "A", 0.08), (7, "A", 0.08), (12, "A", 0.02), (None, "A", 0.02)], "l_suppkey long, l_returnflag string, l_tax double")
+    items.selectExpr("*", "DATE'1996-03-05' AS l_shipdate", "0.1D AS l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7,), (7,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["A33_grid_rollup"](spark, str(tmp_path)).collect()
+    assert sorted((r.grid if r.grid is not None else -1, r.cells, r.display_mean) for r in got) == [(-1, 0, None), (0, 1, 1.0), (1, 1, None)]

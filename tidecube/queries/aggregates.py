@@ -198,9 +198,8 @@ def _(t):
 
 @query("A33_grid_rollup", "pred", f"SELECT h3 // 10 AS grid, species, {N('week(date)', 'iso_week')}, count(DISTINCT h3) AS cells, {R('avg(species_use_log_pred)', 'species_use_log_pred_mean')}, {R('avg(CASE WHEN plausibility > 0.5e0 THEN plausibility END)', 'display_mean')} FROM pred GROUP BY 1, 2, 3")
 def _(t):
-    lookup = t.supplier.select(F.col("s_suppkey").alias("h3"), F.expr("s_suppkey div 10").alias("grid"))
-    p = t.pred.withColumn("iso_week", F.weekofyear("date")).withColumn("display", F.when(F.col("plausibility") > 0.5, F.col("plausibility")))
-    return ag.grid_rollup(p, lookup, ["species", "iso_week"], ["species_use_log_pred", "display"])
+    p = t.pred.withColumn("iso_week", F.weekofyear("date")).withColumn("grid", F.expr("h3 div 10")).withColumn("display", F.when(F.col("plausibility") > 0.5, F.col("plausibility")))
+    return ag.grid_means(p, ["species", "iso_week"], ["species_use_log_pred", "display"])
 
 
 @query("A37_dominant_share", "regimes", f"WITH p AS (SELECT h3, seascape, sum(component_probability) AS w, sum(component_probability * seascape_distance) / nullif(sum(component_probability), 0) AS p FROM regimes WHERE seascape <> 0 GROUP BY 1, 2), k AS (SELECT *, sum(w) OVER (PARTITION BY h3) AS total, row_number() OVER (PARTITION BY h3 ORDER BY round(w, 9) DESC, seascape) AS k FROM p) SELECT h3, seascape, {R('w / total', 'class_share')}, {R('p', 'probability')} FROM k WHERE k = 1")
